@@ -58,13 +58,25 @@ def money(value: Column) -> Column:
     return F.concat(F.lit("$"), F.format_number(value, 2))
 
 
-def step_time(step: Column | str, start: str) -> Column:
-    col = F.col(step) if isinstance(step, str) else step
-    return F.timestamp_add("HOUR", col, F.to_timestamp(F.lit(start)))
+def step_iso(step: Column, start: str) -> Column:
+    """ISO minute string of an hourly step; plain calendar arithmetic, no time zone."""
+    day = F.date_add(F.lit(start).cast("date"), F.floor(step / 24).cast("int"))
+    return F.concat(day.cast("string"), F.lit("T"), F.lpad(F.pmod(step, F.lit(24)).cast("string"), 2, "0"), F.lit(":00"))
 
 
-def iso_minute(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm")
+def step_time(step: Column, start: str) -> Column:
+    """Timestamp of an hourly step."""
+    return F.to_timestamp(step_iso(step, start), F.lit("yyyy-MM-dd'T'HH:mm"))
+
+
+def epoch_micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds since 1970; a timestamp without zone is read as it stands."""
+    if dict(df.dtypes)[ts] != "timestamp_ntz":
+        return F.unix_micros(ts)
+    days = F.datediff(ts, F.lit("1970-01-01")).cast("long")
+    seconds = F.extract(F.lit("SECOND"), F.col(ts))
+    minutes = (days * 24 + F.hour(ts)) * 60 + F.minute(ts)
+    return minutes * 60_000_000 + (seconds * 1_000_000).cast("long")
 
 
 def is_holiday(month: Column, day: Column) -> Column:

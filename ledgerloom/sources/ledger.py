@@ -85,9 +85,8 @@ def _pick(values: list[str], position: Column) -> Column:
 
 def with_derived(df: DataFrame, start: str = START) -> DataFrame:
     """Columns that follow from `step`, `category` and `amount` alone."""
-    stamp = C.iso_minute(C.step_time("step", start))
     return (
-        df.withColumn("datetime", stamp)
+        df.withColumn("datetime", C.step_iso(F.col("step"), start))
         .withColumn("date", F.substring("datetime", 1, 10))
         .withColumn("category_group", C.category_group(F.col("category")))
         .withColumn("isFlaggedFraud", (F.col("amount") > 200_000).cast("int"))
