@@ -66,7 +66,7 @@ def step_iso(step: Column, start: str) -> Column:
 
 def step_time(step: Column, start: str) -> Column:
     """Timestamp of an hourly step."""
-    return F.to_timestamp(step_iso(step, start), F.lit("yyyy-MM-dd'T'HH:mm"))
+    return F.to_timestamp(step_iso(step, start), "yyyy-MM-dd'T'HH:mm")
 
 
 def epoch_micros(df: DataFrame, ts: str) -> Column:

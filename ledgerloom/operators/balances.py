@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom import constants as K
-from ledgerloom.operators.blocks import BLOCK_ROWS, HOT_ROWS, hot_blocks, prior_totals
+from ledgerloom.operators.blocks import BLOCK_ROWS, HOT_ROWS, HotKeys, prior_totals
 
 
 def account_events(df: DataFrame) -> DataFrame:
@@ -35,16 +35,20 @@ def running_balances(
     clamped at zero from above instead.
     """
     start = F.lit(opening) if isinstance(opening, float) else opening
-    events = hot_blocks(account_events(df), ["account"], "_blk", "row_id", hot_rows, block_rows)
+    events = account_events(df)
+    keys = HotKeys(events, ["account"], "row_id", hot_rows, block_rows)
+    hot = keys.only(events)
     order = Window.partitionBy("account", "_blk").orderBy("step", "side", "row_id")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    carried = prior_totals(events, ["account"], {"_sum": ("sum", F.col("delta"))})
-    plain = (
-        events.withColumn("_in", F.sum("delta").over(upto))
-        .join(carried, ["account", "_blk"], "left")
-        .withColumn("balance", start + F.coalesce("_sum", F.lit(0.0)) + F.col("_in"))
-    )
-    bounds = prior_totals(plain, ["account"], {"_low": ("min", F.col("balance")), "_high": ("max", F.col("balance"))})
+    carried = prior_totals(hot, ["account"], {"_sum": ("sum", F.col("delta"))})
+
+
+    def balanced(rows: DataFrame) -> DataFrame:
+        summed = rows.withColumn("_in", F.sum("delta").over(upto)).join(carried, ["account", "_blk"], "left")
+        return summed.withColumn("balance", start + F.coalesce("_sum", F.lit(0.0)) + F.col("_in"))
+
+    plain = balanced(keys.blocks(events))
+    bounds = prior_totals(balanced(hot), ["account"], {"_low": ("min", F.col("balance")), "_high": ("max", F.col("balance"))})
     low = F.least(F.min("balance").over(upto), F.col("_low"), start, F.lit(0.0))
     high = F.greatest(F.max("balance").over(upto), F.col("_high"), start, F.lit(0.0))
     clamped = F.when(F.col("account").endswith("_Cred"), F.col("balance") - high).otherwise(F.col("balance") - low)

@@ -5,7 +5,7 @@ Two situations would otherwise put an unbounded sort into one task:
 * an ordered window without a key (global row index, running totals over all
   scores): `global_index` and `running_totals` range-split the rows, pin the
   split, and add each split's offset;
-* an ordered window on a key that holds a large share of all rows: `hot_blocks`
+* an ordered window on a key that holds a large share of all rows: `HotKeys`
   cuts only such keys into blocks of consecutive rows, and `prior_totals` /
   `prior_rows` carry what earlier blocks contribute.
 """
@@ -74,81 +74,67 @@ def running_totals(df: DataFrame, order: Sequence[str | Column], sums: dict[str,
     return out.drop("_split", "_pos", *[f"_before_{n}" for n in names])
 
 
-def hot_blocks(
-    df: DataFrame,
-    keys: Sequence[str],
-    block: str = "_blk",
-    index: str = "row_id",
-    hot_rows: int = HOT_ROWS,
-    block_rows: int = BLOCK_ROWS,
-    counted: DataFrame | None = None,
-) -> DataFrame:
-    """Add `block`: -1 for ordinary keys, `index // block_rows` for hot ones.
-
-    `index` is dense over the frame, so a block never holds more than
-    `block_rows` rows. At most rows / `hot_rows` keys can be hot, which bounds
-    the broadcast. `counted` may name a cheaper frame with the same keys.
+class HotKeys:
+    """Keys of `df` that hold more than `hot_rows` rows, and their blocks.
+
+    A block is `index // block_rows`; `index` is dense over the frame, so no
+    block holds more than `block_rows` rows. At most rows / `hot_rows` keys can
+    be hot, which bounds the broadcast. Without hot keys the adaptive planner
+    finds the key list empty and drops every branch that carries blocks over.
     """
-    keys = list(keys)
-    source = df if counted is None else counted
-    hot = (
-        source.groupBy(*keys)
-        .agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > hot_rows)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
-    return (
-        df.join(F.broadcast(hot), keys, "left")
-        .withColumn(
-            block,
-            F.when(F.col("_hot"), F.floor(F.col(index) / F.lit(block_rows))).otherwise(F.lit(-1)).cast("long"),
+
+    def __init__(
+        self, df: DataFrame, keys: Sequence[str], index: str = "row_id", hot_rows: int = HOT_ROWS, block_rows: int = BLOCK_ROWS
+    ) -> None:
+        self.keys, self.index, self.block_rows = list(keys), index, block_rows
+        counts = df.groupBy(*self.keys).agg(F.count("*").alias("_n"))
+        self.hot = F.broadcast(counts.where(F.col("_n") > hot_rows).select(*self.keys, F.lit(True).alias("_hot")))
+
+    def _block(self) -> Column:
+        return F.floor(F.col(self.index) / F.lit(self.block_rows)).cast("long")
+
+    def blocks(self, df: DataFrame) -> DataFrame:
+        """All rows with `_blk`: -1 for ordinary keys."""
+        return (
+            df.join(self.hot, self.keys, "left")
+            .withColumn("_blk", F.when(F.col("_hot"), self._block()).otherwise(F.lit(-1).cast("long")))
+            .drop("_hot")
         )
-        .drop("_hot")
-    )
 
+    def only(self, df: DataFrame) -> DataFrame:
+        """Rows of hot keys, with `_blk`."""
+        return df.join(self.hot, self.keys).withColumn("_blk", self._block()).drop("_hot")
 
-def prior_totals(df: DataFrame, keys: Sequence[str], aggs: dict[str, tuple[str, Column]], block: str = "_blk") -> DataFrame:
+
+def prior_totals(hot: DataFrame, keys: Sequence[str], aggs: dict[str, tuple[str, Column]]) -> DataFrame:
     """What earlier blocks of the same hot key add up to, per (key, block).
 
     `aggs` maps an output column to ("sum" | "min" | "max", expression).
     """
     keys = list(keys)
     combine = {"sum": F.sum, "min": F.min, "max": F.max}
-    per_block = (
-        df.where(F.col(block) >= 0)
-        .groupBy(*keys, block)
-        .agg(*[combine[how](expr).alias(name) for name, (how, expr) in aggs.items()])
-    )
-    earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    per_block = hot.groupBy(*keys, "_blk").agg(*[combine[how](expr).alias(name) for name, (how, expr) in aggs.items()])
+    earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     return per_block.select(
-        *keys, block, *[combine[how](F.col(name)).over(earlier).alias(name) for name, (how, _) in aggs.items()]
+        *keys, "_blk", *[combine[how](F.col(name)).over(earlier).alias(name) for name, (how, _) in aggs.items()]
     )
 
 
-def prior_rows(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    values: Sequence[str],
-    n: int,
-    name: str,
-    block: str = "_blk",
-) -> DataFrame:
+def prior_rows(hot: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], n: int, name: str) -> DataFrame:
     """The last `n` rows of earlier blocks of a hot key, oldest first, per (key, block)."""
     keys = list(keys)
-    hot = df.where(F.col(block) >= 0)
-    newest_first = Window.partitionBy(*keys, block).orderBy(*[F.desc(c) for c in order])
+    newest_first = Window.partitionBy(*keys, "_blk").orderBy(*[F.desc(c) for c in order])
     tails = (
         hot.withColumn("_rn", F.row_number().over(newest_first))
         .where(F.col("_rn") <= n)
-        .groupBy(*keys, block)
+        .groupBy(*keys, "_blk")
         .agg(F.sort_array(F.collect_list(F.struct(*order, *values))).alias("_tail"))
     )
     # n earlier blocks are enough: every block that exists holds at least one row
-    earlier = Window.partitionBy(*keys).orderBy(block).rowsBetween(-n, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(-n, -1)
     joined = tails.withColumn("_all", F.flatten(F.collect_list("_tail").over(earlier)))
     first = F.greatest(F.size("_all") - F.lit(n), F.lit(0)) + 1
-    return joined.select(*keys, block, F.slice("_all", first, F.lit(n)).alias(name))
+    return joined.select(*keys, "_blk", F.slice("_all", first, F.lit(n)).alias(name))
 
 
 def lookback_buckets(df: DataFrame, time: str, width: int, bucket: str = "_bkt", halo: str = "_halo") -> DataFrame:

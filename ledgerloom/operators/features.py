@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import constants as K
 from ledgerloom.functions import columns as C
-from ledgerloom.operators.blocks import BLOCK_ROWS, HOT_ROWS, hot_blocks, prior_rows, prior_totals
+from ledgerloom.operators.blocks import BLOCK_ROWS, HOT_ROWS, HotKeys, prior_rows, prior_totals
 
 FEATURES = [
     "amount",
@@ -57,28 +57,37 @@ def value_features() -> dict[str, Column]:
         "log_oldbalance_dest": F.log1p(F.greatest(old_d, F.lit(0.0))),
         "is_focal": F.col("is_focal_user").cast("double"),
         "hour_of_day": F.pmod(F.col("step"), F.lit(24)).cast("double"),
-        "is_out_of_home_region": F.when(F.col("transaction_region") != F.col("home_region"), 1.0).otherwise(0.0),
-        "is_weekend": F.when(F.weekday(F.to_date(F.substring("datetime", 1, 10))) >= 5, 1.0).otherwise(0.0),
         **_one_hot("account_type", K.ACCOUNT_TYPES, "account"),
         **_one_hot("type", K.TYPES, "type"),
     }
 
 
-def _carried_tail(df: DataFrame, key: str, block: str) -> DataFrame:
-    """Row count and last seven rows of earlier blocks, for hot keys only."""
-    counts = prior_totals(df, [key], {"_prior_n": ("sum", F.lit(1).cast("long"))}, block)
-    tails = prior_rows(df, [key], ORDER, ["amount"], 7, "_prior_tail", block)
-    return counts.join(tails, [key, block])
+def _place_and_day(df: DataFrame) -> DataFrame:
+    """Region and calendar features; numbers replace the long strings before any shuffle."""
+    away = F.col("transaction_region") != F.col("home_region")
+    weekend = F.weekday(F.to_date(F.substring("datetime", 1, 10))) >= 5
+    return (
+        C.with_region_distance(df)
+        .withColumn("is_out_of_home_region", F.when(away, 1.0).otherwise(0.0))
+        .withColumn("is_weekend", F.when(weekend, 1.0).otherwise(0.0))
+        .drop("transaction_region", "home_region", "datetime")
+    )
+
+
+def _carried_tail(hot: DataFrame, key: str) -> DataFrame:
+    """Row count and last seven rows of earlier blocks."""
+    counts = prior_totals(hot, [key], {"_prior_n": ("sum", F.lit(1).cast("long"))})
+    return counts.join(prior_rows(hot, [key], ORDER, ["amount"], 7, "_prior_tail"), [key, "_blk"])
 
 
-def _velocity(df: DataFrame, base: DataFrame, key: str, side: str, block: str) -> DataFrame:
+def _velocity(df: DataFrame, hot: DataFrame, key: str, side: str) -> DataFrame:
     """Prior count, sum of the previous seven amounts, and hours since the previous row."""
-    order = Window.partitionBy(key, block).orderBy(*ORDER)
+    order = Window.partitionBy(key, "_blk").orderBy(*ORDER)
     df = (
         df.withColumn("_pos", F.row_number().over(order) - 1)
         .withColumn("_sum7", F.sum("amount").over(order.rowsBetween(-7, -1)))
         .withColumn("_prev", F.lag("step").over(order))
-        .join(_carried_tail(base, key, block), [key, block], "left")
+        .join(_carried_tail(hot, key), [key, "_blk"], "left")
     )
     tail = F.col("_prior_tail")
     size = F.coalesce(F.size(tail), F.lit(0))
@@ -99,32 +108,27 @@ def _velocity(df: DataFrame, base: DataFrame, key: str, side: str, block: str) -
     return df.drop("_pos", "_sum7", "_prev", "_prior_n", "_prior_tail")
 
 
-def _first_seen(df: DataFrame, base: DataFrame, key: str, other: str, name: str, block: str) -> DataFrame:
+def _first_seen(df: DataFrame, hot: DataFrame, key: str, other: str, name: str) -> DataFrame:
     """1.0 on the first row of each (key, other) pair.
 
     Inside a block the first row is a candidate; for a hot key it counts only
     in the pair's earliest block.
     """
-    order = Window.partitionBy(key, block, other).orderBy(*ORDER)
-    earliest = (
-        base.where(F.col(block) >= 0)
-        .groupBy(key, other)
-        .agg(F.min(block).alias(block))
-        .withColumn("_earliest", F.lit(True))
-    )
+    order = Window.partitionBy(key, "_blk", other).orderBy(*ORDER)
+    earliest = hot.groupBy(key, other).agg(F.min("_blk").alias("_blk")).withColumn("_earliest", F.lit(True))
     return (
         df.withColumn("_rn", F.row_number().over(order))
-        .join(earliest, [key, block, other], "left")
-        .withColumn(name, F.when((F.col("_rn") == 1) & ((F.col(block) < 0) | F.col("_earliest")), 1.0).otherwise(0.0))
+        .join(earliest, [key, "_blk", other], "left")
+        .withColumn(name, F.when((F.col("_rn") == 1) & ((F.col("_blk") < 0) | F.col("_earliest")), 1.0).otherwise(0.0))
         .drop("_rn", "_earliest")
     )
 
 
-def _category_mean(df: DataFrame, base: DataFrame, block: str) -> DataFrame:
+def _category_mean(df: DataFrame, hot: DataFrame) -> DataFrame:
     """Amount against the mean of earlier rows of the category; a first row is neutral."""
-    earlier = Window.partitionBy("category", block).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("category", "_blk").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
     carried = prior_totals(
-        base, ["category"], {"_prior_n": ("sum", F.lit(1).cast("long")), "_prior_s": ("sum", F.col("amount"))}, block
+        hot, ["category"], {"_prior_n": ("sum", F.lit(1).cast("long")), "_prior_s": ("sum", F.col("amount"))}
     )
     n = F.col("_n") + F.coalesce("_prior_n", F.lit(0))
     s = F.coalesce("_s", F.lit(0.0)) + F.coalesce("_prior_s", F.lit(0.0))
@@ -132,7 +136,7 @@ def _category_mean(df: DataFrame, base: DataFrame, block: str) -> DataFrame:
     return (
         df.withColumn("_n", F.count("amount").over(earlier))
         .withColumn("_s", F.sum("amount").over(earlier))
-        .join(carried, ["category", block], "left")
+        .join(carried, ["category", "_blk"], "left")
         .withColumn("amount_vs_category_mean", F.try_divide(F.col("amount"), mean + 1.0))
         .drop("_n", "_s", "_prior_n", "_prior_s")
     )
@@ -146,20 +150,17 @@ def build_features(df: DataFrame, hot_rows: int = HOT_ROWS, block_rows: int = BL
     hold more than `hot_rows` rows are processed in blocks of consecutive rows.
     """
     base = df.select(*_INPUTS)
-    split = lambda frame, key, block: hot_blocks(
-        frame, [key], block, "row_id", hot_rows, block_rows, counted=base.select(key)
-    )
-    narrow = {k: split(base, k, "_blk") for k in ("nameOrig", "nameDest", "category")}
-    by_orig = narrow["nameOrig"].select("row_id", *[c for c in ("step", "amount", "nameOrig", "merchant", "nameDest", "_blk")])
-    by_dest = narrow["nameDest"].select("row_id", "step", "amount", "nameDest", "_blk")
-    by_category = narrow["category"].select("row_id", "amount", "category", "_blk")
-
-    out = split(C.with_region_distance(base), "nameOrig", "_blk")
-    out = _velocity(out, by_orig, "nameOrig", "orig", "_blk")
-    out = _first_seen(out, by_orig, "nameOrig", "merchant", "is_new_merchant", "_blk")
-    out = _first_seen(out, by_orig, "nameOrig", "nameDest", "is_new_payee", "_blk").drop("_blk")
-    out = split(out, "nameDest", "_blk")
-    out = _velocity(out, by_dest, "nameDest", "dest", "_blk").drop("_blk")
-    out = split(out, "category", "_blk")
-    out = _category_mean(out, by_category, "_blk").drop("_blk")
+    keys = {k: HotKeys(base, [k], "row_id", hot_rows, block_rows) for k in ("nameOrig", "nameDest", "category")}
+    hot = {
+        k: keys[k].only(base.select(*dict.fromkeys(["row_id", "step", "amount", k, *extra])))
+        for k, extra in {"nameOrig": ["merchant", "nameDest"], "nameDest": [], "category": []}.items()
+    }
+    out = keys["nameOrig"].blocks(_place_and_day(base))
+    out = _velocity(out, hot["nameOrig"], "nameOrig", "orig")
+    out = _first_seen(out, hot["nameOrig"], "nameOrig", "merchant", "is_new_merchant")
+    out = _first_seen(out, hot["nameOrig"], "nameOrig", "nameDest", "is_new_payee").drop("_blk", "nameOrig", "merchant")
+    out = keys["nameDest"].blocks(out)
+    out = _velocity(out, hot["nameDest"], "nameDest", "dest").drop("_blk", "nameDest")
+    out = keys["category"].blocks(out)
+    out = _category_mean(out, hot["category"]).drop("_blk")
     return out.withColumns(value_features()).select("row_id", *FEATURES)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import constants as K
 from ledgerloom.functions import columns as C
-from ledgerloom.operators.blocks import BLOCK_ROWS, HOT_ROWS, hot_blocks, prior_rows
+from ledgerloom.operators.blocks import BLOCK_ROWS, HOT_ROWS, HotKeys, prior_rows
 
 CENT = 0.02
 
@@ -20,12 +20,13 @@ def arithmetic_violations(df: DataFrame, tolerance: float = CENT) -> DataFrame:
 
 def chain_breaks(df: DataFrame, tolerance: float = CENT, hot_rows: int = HOT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rows whose opening balance is not the previous row's closing balance."""
-    rows = hot_blocks(df.select("row_id", "step", "nameOrig", "oldbalanceOrg", "newbalanceOrig"), ["nameOrig"], "_blk", "row_id", hot_rows, block_rows)
+    rows = df.select("row_id", "step", "nameOrig", "oldbalanceOrg", "newbalanceOrig")
+    keys = HotKeys(rows, ["nameOrig"], "row_id", hot_rows, block_rows)
     order = Window.partitionBy("nameOrig", "_blk").orderBy("step", "row_id")
-    carried = prior_rows(rows, ["nameOrig"], ["step", "row_id"], ["newbalanceOrig"], 1, "_tail")
+    carried = prior_rows(keys.only(rows), ["nameOrig"], ["step", "row_id"], ["newbalanceOrig"], 1, "_tail")
     before = F.coalesce("_lag", F.try_element_at("_tail", F.lit(-1))["newbalanceOrig"])
     return (
-        rows.withColumn("_lag", F.lag("newbalanceOrig").over(order))
+        keys.blocks(rows).withColumn("_lag", F.lag("newbalanceOrig").over(order))
         .join(carried, ["nameOrig", "_blk"], "left")
         .withColumn("previous", before)
         .where(F.abs(F.col("oldbalanceOrg") - F.col("previous")) > tolerance)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import constants as K
 from ledgerloom.functions import columns as C
-from ledgerloom.operators.blocks import BLOCK_ROWS, HOT_ROWS, global_index, hot_blocks, lookback_buckets, prior_totals
+from ledgerloom.operators.blocks import BLOCK_ROWS, HOT_ROWS, HotKeys, global_index, lookback_buckets, prior_totals
 
 
 def tokens(text: Column) -> Column:
@@ -121,11 +121,11 @@ def budget_guard(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Would this turn still be allowed, given what the session used before it?"""
-    rows = hot_blocks(turns, [key], "_blk", order, hot_rows, block_rows)
+    keys = HotKeys(turns, [key], order, hot_rows, block_rows)
     earlier = Window.partitionBy(key, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    carried = prior_totals(rows, [key], {"_n": ("sum", F.lit(1).cast("long")), "_t": ("sum", F.col("tokens"))})
+    carried = prior_totals(keys.only(turns), [key], {"_n": ("sum", F.lit(1).cast("long")), "_t": ("sum", F.col("tokens"))})
     used = (
-        rows.withColumn("_bn", F.count("*").over(earlier))
+        keys.blocks(turns).withColumn("_bn", F.count("*").over(earlier))
         .withColumn("_bt", F.sum("tokens").over(earlier))
         .join(carried, [key, "_blk"], "left")
         .withColumn("turns_used", F.col("_bn") + F.coalesce("_n", F.lit(0)))

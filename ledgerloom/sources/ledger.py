@@ -94,35 +94,44 @@ def with_derived(df: DataFrame, start: str = START) -> DataFrame:
     )
 
 
-def from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Map order lines to transactions, without `row_id`.
+def _lines(line: DataFrame) -> DataFrame:
+    """What follows from an order line alone."""
+    order, prt, sup, num = (F.col(f"l_{c}") for c in ("orderkey", "partkey", "suppkey", "linenumber"))
+    kind, amount = F.col("type"), F.col("amount")
+    return (
+        line.withColumn("step", (F.datediff("l_shipdate", F.lit(START)) * 24 + (prt * 7 + num * 5 + sup) % 24).cast("long"))
+        .withColumn("type", _pick(K.TYPES, (prt + num) % 8))
+        .withColumn("amount", F.col("l_quantity") * 40.0)
+        .withColumn("merchant", F.concat(F.lit("M"), sup.cast("string")))
+        .withColumn("oldbalanceOrg", amount * (1 + order % 5).cast("double"))
+        .withColumn(
+            "newbalanceOrig",
+            F.when(kind.isin(K.CREDIT_TYPES), F.col("oldbalanceOrg") + amount).otherwise(F.col("oldbalanceOrg") - amount),
+        )
+        .withColumn("oldbalanceDest", F.when(kind == "TRANSFER", F.col("l_quantity") * (sup % 7).cast("double") * 10.0).otherwise(0.0))
+        .withColumn("newbalanceDest", F.when(kind == "TRANSFER", F.col("oldbalanceDest") + amount).otherwise(0.0))
+        .withColumn("isFraud", ((order * 31 + num) % 97 == 0).cast("int"))
+        .withColumn("is_anomaly", ((order * 13 + num * 7) % 89 == 0).cast("int"))
+        .withColumn("score", ((prt * 17 + order * 3) % 1000) / 1000.0)
+        .withColumn("score_alt", ((prt * 7 + order * 11) % 1000) / 1000.0)
+    )
 
-    Accounts scale with the customer table (30 customers share one), so the
-    rows per account stay level as the data grows.
-    """
-    line = table(spark, sf_dir, "lineitem")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    accounts = table(spark, sf_dir, "customer").agg(F.greatest(F.lit(1), F.floor(F.count("*") / 30)).alias("n")).scalar()
-    order, prt, sup, num, qty = (F.col(f"l_{c}") for c in ("orderkey", "partkey", "suppkey", "linenumber", "quantity"))
-    base = (
-        line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+
+def _named(lines: DataFrame, orders: DataFrame, part: DataFrame, accounts: Column) -> DataFrame:
+    """Accounts, personas, places, categories and labels of each line."""
+    order, prt, sup = (F.col(f"l_{c}") for c in ("orderkey", "partkey", "suppkey"))
+    kind = F.col("type")
+    ids = [K.region_id(i) for i in range(36)]
+    channel = (prt + sup) % 8
+    focal = F.col("_k") % 5 == 0
+    subs = F.create_map(*[x for c, v in K.SUBCATEGORIES.items() for x in (F.lit(c), F.array(*[F.lit(s) for s in v]))])
+    return (
+        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .withColumn("_n", accounts)
         .withColumn("_k", F.col("o_custkey") % F.col("_n"))
-        .withColumn("step", (F.datediff("l_shipdate", F.lit(START)) * 24 + (prt * 7 + num * 5 + sup) % 24).cast("long"))
-        .withColumn("type", _pick(K.TYPES, (prt + num) % 8))
-        .withColumn("amount", qty * 40.0)
         .withColumn("persona_id", F.concat(F.lit("U"), F.col("_k").cast("string")))
-    )
-    focal = F.col("_k") % 5 == 0
-    channel = (prt + sup) % 8
-    kind = F.col("type")
-    old = F.col("amount") * (1 + order % 5).cast("double")
-    subs = F.create_map(*[x for c, v in K.SUBCATEGORIES.items() for x in (F.lit(c), F.array(*[F.lit(s) for s in v]))])
-    away = (prt * 3 + sup) % 10 == 0
-    named = (
-        base.withColumn(
+        .withColumn(
             "account_type",
             F.when(~focal, "background").when(channel == 0, "savings").when(channel == 1, "credit").otherwise("checking"),
         )
@@ -130,16 +139,13 @@ def from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
             "nameOrig",
             F.concat(
                 "persona_id",
-                F.when(F.col("account_type") == "savings", "_Sav").when(F.col("account_type") == "credit", "_Cred").otherwise(""),
+                F.when(focal & (channel == 0), "_Sav").when(focal & (channel == 1), "_Cred").otherwise(""),
             ),
         )
         .withColumn(
             "nameDest",
-            F.when(kind == "TRANSFER", F.concat(F.lit("U"), ((sup * 13 + prt) % F.col("_n")).cast("string"))).otherwise(
-                F.concat(F.lit("M"), sup.cast("string"))
-            ),
+            F.when(kind == "TRANSFER", F.concat(F.lit("U"), ((sup * 13 + prt) % F.col("_n")).cast("string"))).otherwise(F.col("merchant")),
         )
-        .withColumn("merchant", F.concat(F.lit("M"), sup.cast("string")))
         .withColumn(
             "category",
             F.when(kind == "SALARY", "income")
@@ -149,23 +155,17 @@ def from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(kind == "TRANSFER", _pick(["savings", "credit", "transfer", "housing"], prt % 4))
             .otherwise(_pick(K.SPENDING_CATEGORIES[:7], F.col("p_size") % 7)),
         )
-        .withColumn("oldbalanceOrg", old)
-        .withColumn("newbalanceOrig", F.when(kind.isin(K.CREDIT_TYPES), old + F.col("amount")).otherwise(old - F.col("amount")))
-        .withColumn("oldbalanceDest", F.when(kind == "TRANSFER", qty * (sup % 7).cast("double") * 10.0).otherwise(0.0))
-        .withColumn("newbalanceDest", F.when(kind == "TRANSFER", F.col("oldbalanceDest") + F.col("amount")).otherwise(0.0))
-        .withColumn("is_focal_user", focal & (F.col("account_type") == "checking"))
-        .withColumn("isFraud", ((order * 31 + num) % 97 == 0).cast("int"))
-        .withColumn("is_anomaly", ((order * 13 + num * 7) % 89 == 0).cast("int"))
+        .withColumn("is_focal_user", focal & ~channel.isin(0, 1))
         .withColumn(
             "anomaly_type",
             F.when(F.col("is_anomaly") == 1, F.when(prt % 2 == 0, "duplicate_charge").otherwise("spend_spike")).otherwise(""),
         )
         .withColumn("persona_archetype", F.when(focal, _pick(K.PERSONA_ARCHETYPES, F.col("_k") % 6)).otherwise("background"))
-        .withColumn("home_region", _pick([K.region_id(i) for i in range(36)], F.col("_k") % 36))
+        .withColumn("home_region", _pick(ids, F.col("_k") % 36))
         .withColumn(
             "transaction_region",
             F.when(prt % 97 == 0, "R99_unknown")
-            .when(away, _pick([K.region_id(i) for i in range(36)], (F.col("_k") + 1 + prt % 35) % 36))
+            .when((prt * 3 + sup) % 10 == 0, _pick(ids, (F.col("_k") + 1 + prt % 35) % 36))
             .otherwise(F.col("home_region")),
         )
         .withColumn("merchant_region", F.col("transaction_region"))
@@ -181,31 +181,41 @@ def from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
             "label_reported_at_step",
             F.col("step") + F.when((F.col("isFraud") == 1) & (prt % 10 == 0), 24 + order % 696).otherwise(F.lit(0)),
         )
-        .withColumn("score", ((prt * 17 + order * 3) % 1000) / 1000.0)
-        .withColumn("score_alt", ((prt * 7 + order * 11) % 1000) / 1000.0)
     )
-    return with_derived(named)
 
 
 def ingest(spark: SparkSession, sf_dir: str, path: str) -> None:
-    """Number the rows in (step, source) order and write the ledger table once."""
-    named = from_orders(spark, sf_dir)
-    order = LINE_ORDER
-    keep = [c for c in LEDGER_COLUMNS if c != "row_id"] + SCORES
-    indexed = global_index(named.select(*dict.fromkeys([*order, *keep])), order)
+    """Number the lines in (step, source) order, map them to transactions, write the table once.
+
+    Lines are numbered before anything is joined, so the range sample and the
+    ordered shuffle see narrow rows. Accounts scale with the customer table
+    (30 customers share one): rows per account stay level as the data grows.
+    """
+    lines = _lines(table(spark, sf_dir, "lineitem"))
+    carried = [c for c in LEDGER_COLUMNS + SCORES if c in lines.columns]
+    indexed = global_index(lines.select(*dict.fromkeys([*LINE_ORDER, *carried])), LINE_ORDER)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    accounts = table(spark, sf_dir, "customer").agg(F.greatest(F.lit(1), F.floor(F.count("*") / 30))).scalar()
+    named = _named(indexed.select("row_id", "l_orderkey", "l_partkey", "l_suppkey", *carried), orders, part, accounts)
     typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in LEDGER.fields]
-    indexed.select(*typed, *SCORES).write.mode("overwrite").parquet(path)
+    with_derived(named).select(*typed, *SCORES).write.mode("overwrite").parquet(path)
 
 
-def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ledger_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the stored ledger; the first call in an application ingests it."""
     app = spark.sparkContext.applicationId
     if (app, sf_dir) not in _KNOWN:
         name = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
         path = f"{shared_folder(spark)}/ledger-{name}"
         ingest(spark, sf_dir, path)
         _KNOWN[(app, sf_dir)] = path
+    return _KNOWN[(app, sf_dir)]
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = T.StructType([*LEDGER.fields, *[T.StructField(s, T.DoubleType()) for s in SCORES]])
-    return spark.read.schema(schema).parquet(_KNOWN[(app, sf_dir)])
+    return spark.read.schema(schema).parquet(ledger_path(spark, sf_dir))
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
