@@ -108,7 +108,10 @@ def _(spark, sf):
 @query("cross_validated_models")
 def _(spark, sf):
     train = L.training_split(stored_features(spark, sf), 0.25, None)[0]
-    specs = {n: SPECS[n] for n in ("logistic_regression", "reconstruction_error")}
+    specs = {
+        "logistic_regression": L.Spec("logistic", {"maxIter": 8}, scaled=True, explainable=True),
+        "random_forest": L.Spec("forest", {"numTrees": 5, "maxDepth": 4, "seed": 42}),
+    }
     return E.fold_summary(L.cross_validate(train, specs, folds=5), ["model"])
 
 
