@@ -44,15 +44,15 @@ def running_balances(
 
 
     def balanced(rows: DataFrame) -> DataFrame:
-        summed = rows.withColumn("_in", F.sum("delta").over(upto)).join(carried, ["account", "_blk"], "left")
+        summed = keys.carry(rows.withColumn("_in", F.sum("delta").over(upto)), carried, {"_sum": "double"})
         return summed.withColumn("balance", start + F.coalesce("_sum", F.lit(0.0)) + F.col("_in"))
 
     plain = balanced(keys.blocks(events))
-    bounds = prior_totals(balanced(hot), ["account"], {"_low": ("min", F.col("balance")), "_high": ("max", F.col("balance"))})
+    bounds = prior_totals(balanced(hot) if hot is not None else None, ["account"], {"_low": ("min", F.col("balance")), "_high": ("max", F.col("balance"))})
     low = F.least(F.min("balance").over(upto), F.col("_low"), start, F.lit(0.0))
     high = F.greatest(F.max("balance").over(upto), F.col("_high"), start, F.lit(0.0))
     clamped = F.when(F.col("account").endswith("_Cred"), F.col("balance") - high).otherwise(F.col("balance") - low)
-    return plain.join(bounds, ["account", "_blk"], "left").select(
+    return keys.carry(plain, bounds, {"_low": "double", "_high": "double"}).select(
         "account", "step", "side", "row_id", "delta", "balance", clamped.alias("clamped")
     )
 

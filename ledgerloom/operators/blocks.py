@@ -78,39 +78,57 @@ class HotKeys:
     """Keys of `df` that hold more than `hot_rows` rows, and their blocks.
 
     A block is `index // block_rows`; `index` is dense over the frame, so no
-    block holds more than `block_rows` rows. At most rows / `hot_rows` keys can
-    be hot, which bounds the broadcast. Without hot keys the adaptive planner
-    finds the key list empty and drops every branch that carries blocks over.
+    block holds more than `block_rows` rows. The keys are looked up first: a
+    frame of at most `hot_rows` rows cannot have any, otherwise they are counted
+    and stored. At most rows / `hot_rows` keys can be hot, which bounds the
+    broadcast. `found` tells whether there are any; without them callers leave
+    the carrying branches out of their plan altogether.
     """
 
     def __init__(
         self, df: DataFrame, keys: Sequence[str], index: str = "row_id", hot_rows: int = HOT_ROWS, block_rows: int = BLOCK_ROWS
     ) -> None:
         self.keys, self.index, self.block_rows = list(keys), index, block_rows
-        counts = df.groupBy(*self.keys).agg(F.count("*").alias("_n"))
-        self.hot = F.broadcast(counts.where(F.col("_n") > hot_rows).select(*self.keys, F.lit(True).alias("_hot")))
+        self.found = False
+        if df.count() > hot_rows:
+            counts = df.groupBy(*self.keys).agg(F.count("*").alias("_n"))
+            hot = pin(counts.where(F.col("_n") > hot_rows).select(*self.keys, F.lit(True).alias("_hot")), "hot")
+            self.found = not hot.isEmpty()
+            self.hot = F.broadcast(hot)
 
     def _block(self) -> Column:
         return F.floor(F.col(self.index) / F.lit(self.block_rows)).cast("long")
 
     def blocks(self, df: DataFrame) -> DataFrame:
         """All rows with `_blk`: -1 for ordinary keys."""
+        if not self.found:
+            return df.withColumn("_blk", F.lit(-1).cast("long"))
         return (
             df.join(self.hot, self.keys, "left")
             .withColumn("_blk", F.when(F.col("_hot"), self._block()).otherwise(F.lit(-1).cast("long")))
             .drop("_hot")
         )
 
-    def only(self, df: DataFrame) -> DataFrame:
-        """Rows of hot keys, with `_blk`."""
+    def only(self, df: DataFrame) -> DataFrame | None:
+        """Rows of hot keys, with `_blk`; None when there are none."""
+        if not self.found:
+            return None
         return df.join(self.hot, self.keys).withColumn("_blk", self._block()).drop("_hot")
 
+    def carry(self, df: DataFrame, carried: DataFrame | None, columns: dict[str, str]) -> DataFrame:
+        """Join what earlier blocks pass on; `columns` gives its names and types."""
+        if carried is None:
+            return df.withColumns({c: F.lit(None).cast(kind) for c, kind in columns.items()})
+        return df.join(carried, [*self.keys, "_blk"], "left")
 
-def prior_totals(hot: DataFrame, keys: Sequence[str], aggs: dict[str, tuple[str, Column]]) -> DataFrame:
+
+def prior_totals(hot: DataFrame | None, keys: Sequence[str], aggs: dict[str, tuple[str, Column]]) -> DataFrame | None:
     """What earlier blocks of the same hot key add up to, per (key, block).
 
     `aggs` maps an output column to ("sum" | "min" | "max", expression).
     """
+    if hot is None:
+        return None
     keys = list(keys)
     combine = {"sum": F.sum, "min": F.min, "max": F.max}
     per_block = hot.groupBy(*keys, "_blk").agg(*[combine[how](expr).alias(name) for name, (how, expr) in aggs.items()])
@@ -120,8 +138,12 @@ def prior_totals(hot: DataFrame, keys: Sequence[str], aggs: dict[str, tuple[str,
     )
 
 
-def prior_rows(hot: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], n: int, name: str) -> DataFrame:
+def prior_rows(
+    hot: DataFrame | None, keys: Sequence[str], order: Sequence[str], values: Sequence[str], n: int, name: str
+) -> DataFrame | None:
     """The last `n` rows of earlier blocks of a hot key, oldest first, per (key, block)."""
+    if hot is None:
+        return None
     keys = list(keys)
     newest_first = Window.partitionBy(*keys, "_blk").orderBy(*[F.desc(c) for c in order])
     tails = (

@@ -74,22 +74,21 @@ def _place_and_day(df: DataFrame) -> DataFrame:
     )
 
 
-def _carried_tail(hot: DataFrame, key: str) -> DataFrame:
-    """Row count and last seven rows of earlier blocks."""
-    counts = prior_totals(hot, [key], {"_prior_n": ("sum", F.lit(1).cast("long"))})
-    return counts.join(prior_rows(hot, [key], ORDER, ["amount"], 7, "_prior_tail"), [key, "_blk"])
+_TAIL = "array<struct<step: bigint, row_id: bigint, amount: double>>"
 
 
-def _velocity(df: DataFrame, hot: DataFrame, key: str, side: str) -> DataFrame:
+def _velocity(df: DataFrame, keys: HotKeys, hot: DataFrame | None, side: str) -> DataFrame:
     """Prior count, sum of the previous seven amounts, and hours since the previous row."""
-    order = Window.partitionBy(key, "_blk").orderBy(*ORDER)
-    df = (
+    order = Window.partitionBy(*keys.keys, "_blk").orderBy(*ORDER)
+    counts = prior_totals(hot, keys.keys, {"_prior_n": ("sum", F.lit(1).cast("long"))})
+    tails = prior_rows(hot, keys.keys, ORDER, ["amount"], 7, "_tail7")
+    out = (
         df.withColumn("_pos", F.row_number().over(order) - 1)
         .withColumn("_sum7", F.sum("amount").over(order.rowsBetween(-7, -1)))
         .withColumn("_prev", F.lag("step").over(order))
-        .join(_carried_tail(hot, key), [key, "_blk"], "left")
     )
-    tail = F.col("_prior_tail")
+    out = keys.carry(keys.carry(out, counts, {"_prior_n": "long"}), tails, {"_tail7": _TAIL})
+    tail = F.col("_tail7")
     size = F.coalesce(F.size(tail), F.lit(0))
     # the block holds only `_pos` of the seven previous rows: take the rest from the tail
     rest = F.greatest(F.lit(0), F.least(size, 7 - F.col("_pos"))).cast("int")
@@ -97,34 +96,32 @@ def _velocity(df: DataFrame, hot: DataFrame, key: str, side: str) -> DataFrame:
         rest > 0, F.aggregate(F.slice(tail, size - rest + 1, rest), F.lit(0.0), lambda s, r: s + r["amount"])
     ).otherwise(F.lit(0.0))
     last = F.when(size > 0, F.try_element_at(tail, F.lit(-1))["step"])
-    df = (
-        df.withColumn(f"count_prior_{side}", (F.col("_pos") + F.coalesce("_prior_n", F.lit(0))).cast("double"))
-        .withColumn(f"sum_amount_prev7_{side}", F.coalesce("_sum7", F.lit(0.0)) + carried)
+    out = out.withColumn(f"count_prior_{side}", (F.col("_pos") + F.coalesce("_prior_n", F.lit(0))).cast("double")).withColumn(
+        f"sum_amount_prev7_{side}", F.coalesce("_sum7", F.lit(0.0)) + carried
     )
     if side == "orig":
-        df = df.withColumn(
+        out = out.withColumn(
             "steps_since_prev_orig", F.coalesce(F.col("step") - F.coalesce("_prev", last), F.lit(999)).cast("double")
         )
-    return df.drop("_pos", "_sum7", "_prev", "_prior_n", "_prior_tail")
+    return out.drop("_pos", "_sum7", "_prev", "_prior_n", "_tail7")
 
 
-def _first_seen(df: DataFrame, hot: DataFrame, key: str, other: str, name: str) -> DataFrame:
+def _first_seen(df: DataFrame, key: str, hot: DataFrame | None, other: str, name: str) -> DataFrame:
     """1.0 on the first row of each (key, other) pair.
 
     Inside a block the first row is a candidate; for a hot key it counts only
     in the pair's earliest block.
     """
     order = Window.partitionBy(key, "_blk", other).orderBy(*ORDER)
-    earliest = hot.groupBy(key, other).agg(F.min("_blk").alias("_blk")).withColumn("_earliest", F.lit(True))
-    return (
-        df.withColumn("_rn", F.row_number().over(order))
-        .join(earliest, [key, "_blk", other], "left")
-        .withColumn(name, F.when((F.col("_rn") == 1) & ((F.col("_blk") < 0) | F.col("_earliest")), 1.0).otherwise(0.0))
-        .drop("_rn", "_earliest")
-    )
+    out, counts = df.withColumn("_rn", F.row_number().over(order)), F.col("_rn") == 1
+    if hot is not None:
+        earliest = hot.groupBy(key, other).agg(F.min("_blk").alias("_blk")).withColumn("_earliest", F.lit(True))
+        out = out.join(earliest, [key, "_blk", other], "left")
+        counts = counts & ((F.col("_blk") < 0) | F.col("_earliest"))
+    return out.withColumn(name, F.when(counts, 1.0).otherwise(0.0)).drop("_rn", "_earliest")
 
 
-def _category_mean(df: DataFrame, hot: DataFrame) -> DataFrame:
+def _category_mean(df: DataFrame, keys: HotKeys, hot: DataFrame | None) -> DataFrame:
     """Amount against the mean of earlier rows of the category; a first row is neutral."""
     earlier = Window.partitionBy("category", "_blk").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
     carried = prior_totals(
@@ -133,10 +130,9 @@ def _category_mean(df: DataFrame, hot: DataFrame) -> DataFrame:
     n = F.col("_n") + F.coalesce("_prior_n", F.lit(0))
     s = F.coalesce("_s", F.lit(0.0)) + F.coalesce("_prior_s", F.lit(0.0))
     mean = F.coalesce(F.try_divide(s, n), F.col("amount"))
+    out = df.withColumn("_n", F.count("amount").over(earlier)).withColumn("_s", F.sum("amount").over(earlier))
     return (
-        df.withColumn("_n", F.count("amount").over(earlier))
-        .withColumn("_s", F.sum("amount").over(earlier))
-        .join(carried, ["category", "_blk"], "left")
+        keys.carry(out, carried, {"_prior_n": "long", "_prior_s": "double"})
         .withColumn("amount_vs_category_mean", F.try_divide(F.col("amount"), mean + 1.0))
         .drop("_n", "_s", "_prior_n", "_prior_s")
     )
@@ -156,11 +152,11 @@ def build_features(df: DataFrame, hot_rows: int = HOT_ROWS, block_rows: int = BL
         for k, extra in {"nameOrig": ["merchant", "nameDest"], "nameDest": [], "category": []}.items()
     }
     out = keys["nameOrig"].blocks(_place_and_day(base))
-    out = _velocity(out, hot["nameOrig"], "nameOrig", "orig")
-    out = _first_seen(out, hot["nameOrig"], "nameOrig", "merchant", "is_new_merchant")
-    out = _first_seen(out, hot["nameOrig"], "nameOrig", "nameDest", "is_new_payee").drop("_blk", "nameOrig", "merchant")
+    out = _velocity(out, keys["nameOrig"], hot["nameOrig"], "orig")
+    out = _first_seen(out, "nameOrig", hot["nameOrig"], "merchant", "is_new_merchant")
+    out = _first_seen(out, "nameOrig", hot["nameOrig"], "nameDest", "is_new_payee").drop("_blk", "nameOrig", "merchant")
     out = keys["nameDest"].blocks(out)
-    out = _velocity(out, hot["nameDest"], "nameDest", "dest").drop("_blk", "nameDest")
+    out = _velocity(out, keys["nameDest"], hot["nameDest"], "dest").drop("_blk", "nameDest")
     out = keys["category"].blocks(out)
-    out = _category_mean(out, hot["category"]).drop("_blk")
+    out = _category_mean(out, keys["category"], hot["category"]).drop("_blk")
     return out.withColumns(value_features()).select("row_id", *FEATURES)

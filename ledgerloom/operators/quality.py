@@ -25,9 +25,10 @@ def chain_breaks(df: DataFrame, tolerance: float = CENT, hot_rows: int = HOT_ROW
     order = Window.partitionBy("nameOrig", "_blk").orderBy("step", "row_id")
     carried = prior_rows(keys.only(rows), ["nameOrig"], ["step", "row_id"], ["newbalanceOrig"], 1, "_tail")
     before = F.coalesce("_lag", F.try_element_at("_tail", F.lit(-1))["newbalanceOrig"])
+    chained = keys.blocks(rows).withColumn("_lag", F.lag("newbalanceOrig").over(order))
+    tail = {"_tail": "array<struct<step: bigint, row_id: bigint, newbalanceOrig: double>>"}
     return (
-        keys.blocks(rows).withColumn("_lag", F.lag("newbalanceOrig").over(order))
-        .join(carried, ["nameOrig", "_blk"], "left")
+        keys.carry(chained, carried, tail)
         .withColumn("previous", before)
         .where(F.abs(F.col("oldbalanceOrg") - F.col("previous")) > tolerance)
         .select("row_id", "nameOrig", "oldbalanceOrg", "previous")

@@ -11,7 +11,10 @@ from ledgerloom import constants as K
 from ledgerloom.functions import columns as C
 from ledgerloom.operators.asof import asof_forward
 from ledgerloom.operators.rollups import category_day_stats, daily_category_totals
+from ledgerloom.session import pin
 
+# rows of (id, two flags): some 20 MB at most
+MARKS_BROADCAST = 1_000_000
 SHOWN = ["row_id", "step", "amount", "nameOrig", "nameDest", "category", "merchant"]
 
 
@@ -170,6 +173,10 @@ def rule_risk_flags(df: DataFrame, cfg: dict | None = None, match_on: str = "row
         .groupBy("row_id")
         .agg(*[F.max(F.col("k") == k).alias(f"_{k}") for k in "du"])
     )
+    # few rows are flagged: once stored and counted they can be broadcast, else both sides shuffle on the unique id
+    marks = pin(marks, "marks")
+    if marks.count() <= MARKS_BROADCAST:
+        marks = F.broadcast(marks)
     days = spike_days(df, p["z"]).select("date", "category", F.lit(True).alias("_s"))
     joined = df.join(F.broadcast(days), ["date", "category"], "left").join(marks, "row_id", "left")
     out = _score_and_reason(joined, F.col("_d"), F.col("_u"), F.col("_s"))

@@ -124,10 +124,9 @@ def budget_guard(
     keys = HotKeys(turns, [key], order, hot_rows, block_rows)
     earlier = Window.partitionBy(key, "_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     carried = prior_totals(keys.only(turns), [key], {"_n": ("sum", F.lit(1).cast("long")), "_t": ("sum", F.col("tokens"))})
+    counted = keys.blocks(turns).withColumn("_bn", F.count("*").over(earlier)).withColumn("_bt", F.sum("tokens").over(earlier))
     used = (
-        keys.blocks(turns).withColumn("_bn", F.count("*").over(earlier))
-        .withColumn("_bt", F.sum("tokens").over(earlier))
-        .join(carried, [key, "_blk"], "left")
+        keys.carry(counted, carried, {"_n": "long", "_t": "long"})
         .withColumn("turns_used", F.col("_bn") + F.coalesce("_n", F.lit(0)))
         .withColumn("tokens_used", F.coalesce("_bt", F.lit(0)) + F.coalesce("_t", F.lit(0)))
     )

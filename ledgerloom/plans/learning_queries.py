@@ -109,8 +109,8 @@ def _(spark, sf):
 def _(spark, sf):
     train = L.training_split(stored_features(spark, sf), 0.25, None)[0]
     specs = {
-        "logistic_regression": L.Spec("logistic", {"maxIter": 8}, scaled=True, explainable=True),
         "random_forest": L.Spec("forest", {"numTrees": 5, "maxDepth": 4, "seed": 42}),
+        "reconstruction_error": L.Spec("reconstruction", {"k": 8}, scaled=True),
     }
     return E.fold_summary(L.cross_validate(train, specs, folds=5), ["model"])
 
