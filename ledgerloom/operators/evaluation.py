@@ -233,13 +233,16 @@ def select_model(cv: DataFrame, tolerance_std: float = 1.0, prefer_explainable:
 def negatives_cap(df: DataFrame, max_rows: int, y: str = "y", seed: int = 42, buckets: int = 1 << 16) -> DataFrame:
     """Keep every positive and as many negatives as `max_rows` leaves room for.
 
+    Positives alone beyond `max_rows` leave the negatives as they are.
+
     Negatives are ranked by a seeded hash. Counts per hash bucket find the
     bucket the cut falls into, and only that one bucket is ordered.
     """
     hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), "row_id")).withColumn("_b", F.pmod("_h", F.lit(buckets)))
     negatives = hashed.where(F.col(y) == 0)
     positives = df.where(F.col(y) == 1)
-    room = positives.agg(F.lit(max_rows) - F.count("*")).scalar()
+    left = F.lit(max_rows) - F.count("*")
+    room = positives.agg(F.when(left > 0, left).otherwise(F.lit(1 << 62))).scalar()
     counts = negatives.groupBy("_b").agg(F.count("*").alias("n"))
     upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     # at most `buckets` rows, whatever the size of the ledger

@@ -33,8 +33,10 @@ def account_types(df: DataFrame, user: str | None = None) -> DataFrame:
 
 def for_month(df: DataFrame, whole: DataFrame, month: str | None = None) -> DataFrame:
     """Rows of `month`; by default the latest month of the *whole* ledger."""
-    wanted = F.lit(month) if month else whole.agg(F.max(C.month_of())).scalar()
-    return df.where(C.month_of() == wanted)
+    if month:
+        # a range over the ISO text reaches the scan's row-group statistics
+        return df.where(F.col("date").between(f"{month}-01", f"{month}-31"))
+    return df.where(F.col("date") >= F.concat(whole.agg(F.max(C.month_of())).scalar(), F.lit("-01")))
 
 
 def explore(

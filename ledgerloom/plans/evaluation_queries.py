@@ -174,7 +174,7 @@ def _(spark, sf):
 
 @query(
     "negatives_cap",
-    over_ledger("SELECT y, CASE y WHEN 1 THEN count(*) ELSE 20000 - (SELECT sum(y) FROM scores) END AS n FROM scores GROUP BY 1"),
+    over_ledger("SELECT y, CASE y WHEN 1 THEN count(*) ELSE least(count(*), 20000 - (SELECT sum(y) FROM scores)) END AS n FROM scores GROUP BY 1"),
 )
 def _(spark, sf):
     return E.negatives_cap(labeled_scores(spark, sf), 20_000).groupBy("y").agg(F.count("*").alias("n"))

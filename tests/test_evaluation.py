@@ -64,6 +64,7 @@ def test_negatives_cap_is_exact_and_keeps_positives(spark):
     counts = {r["y"]: r["n"] for r in capped.groupBy("y").agg(F.count("*").alias("n")).collect()}
     assert counts == {1: 20, 0: 130}
     assert capped.select("row_id").distinct().count() == 150
+    assert E.negatives_cap(df, 1000).count() == 400 and E.negatives_cap(df, 10).count() == 400
 
 
 def test_folds(spark):
