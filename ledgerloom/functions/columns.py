@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import calendar
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,8 +68,14 @@ def step_iso(step: Column, start: str) -> Column:
 
 
 def step_time(step: Column, start: str) -> Column:
-    """Timestamp of an hourly step."""
-    return F.to_timestamp(step_iso(step, start), "yyyy-MM-dd'T'HH:mm")
+    """Instant of an hourly step, counted in UTC so that no clock change bends an hour."""
+    seconds = calendar.timegm(datetime.date.fromisoformat(start).timetuple())
+    return F.timestamp_seconds(F.lit(seconds) + step * 3600)
+
+
+def utc_text(ts: Column) -> Column:
+    """Wall-clock text of an instant in UTC, whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd HH:mm:ss")
 
 
 def epoch_micros(df: DataFrame, ts: str) -> Column:
