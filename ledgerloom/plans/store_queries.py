@@ -10,7 +10,7 @@ from ledgerloom.operators.features import FEATURES, build_features
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.rollup_queries import _EXPLORE, EXPLORE_SQL
 from ledgerloom.plans.rule_queries import SCORED_CTES, _scored
-from ledgerloom.plans.evaluation_queries import _recall_sql
+from ledgerloom.plans.evaluation_queries import MODELS_SQL, _metrics_sql, _recall_sql
 from ledgerloom.plans.sqlkit import CREDIT, EXPENSE, over_ledger, rnd
 from ledgerloom.session import new_path
 from ledgerloom.sources import files
@@ -154,7 +154,14 @@ def _(spark, sf):
     )
 
 
-@query("run_record")
+@query(
+    "run_record",
+    over_ledger(
+        """SELECT pr_auc, (SELECT count(*) FROM ledger) AS transactions, (SELECT count(*) FROM r) AS archetypes,
+        (SELECT count(DISTINCT cohort) FROM scores WHERE y = 1 AND cohort <> '') AS cohorts FROM metrics WHERE model = 'score'""",
+        MODELS_SQL, _metrics_sql("models", "model"), _recall_sql("score", "r"),
+    ),
+)
 def _(spark, sf):
     scores = labeled_scores(spark, sf)
     record = reports.run_record(
@@ -164,7 +171,7 @@ def _(spark, sf):
     record.write.json(path)
     return spark.read.schema(record.schema).json(path).select(
         F.col("holdout.pr_auc").alias("pr_auc"), F.col("dataset.transactions").alias("transactions"),
-        F.size("archetype_recall").alias("archetypes"), F.size("cohort_fairness").alias("cohorts"),
+        F.size("archetype_recall").cast("long").alias("archetypes"), F.size("cohort_fairness").cast("long").alias("cohorts"),
     )
 
 

@@ -107,3 +107,18 @@ def test_ledger_files(spark, tmp_path, name):
     assert out.dtypes == df.dtypes and out.count() == 50
     assert out.select("step", "amount", "anomaly_type").exceptAll(df.select("step", "amount", "anomaly_type")).count() == 0
     assert [r["step"] for r in out.orderBy("row_id").collect()] == sorted(r["step"] for r in df.collect())
+
+
+def test_streamed_limiter_matches_a_plain_loop(spark, sf):
+    from ledgerloom.plans import load
+    from ledgerloom.plans.registry import QUERIES
+
+    load()
+    got = {r["event_id"]: r["allowed"] for r in QUERIES["stream_request_limiter"](spark, sf).collect()}
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "ts").toPandas().sort_values(["ts", "event_id"])
+    hits, want = {}, {}
+    for r in events.itertuples():
+        recent = [t for t in hits.get(r.user_id, []) if t > r.ts - pd.Timedelta(seconds=21_600)]
+        want[r.event_id] = len(recent) < 3
+        hits[r.user_id] = [*recent, r.ts] if want[r.event_id] else recent
+    assert got == want and not all(want.values())
