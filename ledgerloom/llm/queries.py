@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat_format, quality_rules, secret_scan, simhash_bk
+from ledgerloom.llm import chat_format, lm_scores, packing, quality_rules, secret_scan, simhash_bk, token_files
 from ledgerloom.session import pin
 from ledgerloom.sources.tables import table
 
@@ -154,3 +154,42 @@ def op10_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count("assign"), count("access"), count("hex"),
         F.sha2(joined(base), 256).alias("base_sha256"), joined(spans).alias("spans"),
     )
+
+
+# --- 7: token ids in coded files --------------------------------------------------------------------------------------
+
+
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query
+def op7_range_ans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_files.read(token_files.write(docs, _vocabulary("byte_bpe_50k.json"), 2))
+
+
+# --- 8: best-fit packing ----------------------------------------------------------------------------------------------
+
+
+@query
+def op8_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), 1)
+    return packing.assign(cut).drop("pid")
+
+
+# --- 6: context mixing ------------------------------------------------------------------------------------------------
+
+
+@query
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = lm_scores.held_out(F.col("doc_id"))
+    model = lm_scores.train(docs.filter(~out))
+    scored = lm_scores.score(docs, model)
+    return scored.select(
+        "doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score",
+        (F.col("bits") / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
+    )
