@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat_format, lm_scores, packing, quality_rules, secret_scan, simhash_bk, token_files
+from ledgerloom.llm import chat_format, lm_scores, packing, quality_rules, secret_scan, simhash_bk, token_files, warc_archive
 from ledgerloom.session import pin
 from ledgerloom.sources.tables import table
 
@@ -193,3 +193,14 @@ def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score",
         (F.col("bits") / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
     )
+
+
+# --- 4: WARC archives and their merged index --------------------------------------------------------------------------
+
+
+@query
+def op4_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = warc_archive.runs(warc_archive.write(table(spark, sf_dir, "pages")))
+    return warc_archive.merge(entries).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "part", "at"
+    )
