@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat_format, lm_scores, packing, quality_rules, secret_scan, simhash_bk, token_files, warc_archive
+from ledgerloom.llm import chat_format, decontaminate, lm_scores, packing, quality_rules, secret_scan, simhash_bk, token_files, warc_archive
 from ledgerloom.session import pin
 from ledgerloom.sources.tables import table
 
@@ -204,3 +204,12 @@ def op4_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_archive.merge(entries).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "part", "at"
     )
+
+
+# --- 1: benchmark decontamination -------------------------------------------------------------------------------------
+
+
+@query
+def op1_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item that it holds."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
