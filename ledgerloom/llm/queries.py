@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat_format, decontaminate, lm_scores, packing, quality_rules, secret_scan, simhash_bk, token_files, warc_archive
+from ledgerloom.llm import (
+    chat_format,
+    decontaminate,
+    lm_scores,
+    packing,
+    quality_rules,
+    secret_scan,
+    simhash_bk,
+    surrogates,
+    token_files,
+    warc_archive,
+)
 from ledgerloom.session import pin
 from ledgerloom.sources.tables import table
 
@@ -159,7 +170,7 @@ def op10_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- 7: token ids in coded files --------------------------------------------------------------------------------------
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
@@ -168,7 +179,7 @@ def _vocabulary(name: str) -> str:
 @query
 def op7_range_ans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return token_files.read(token_files.write(docs, _vocabulary("byte_bpe_50k.json"), 2))
+    return token_files.read(token_files.write(docs, vocabulary("byte_bpe_50k.json"), 2))
 
 
 # --- 8: best-fit packing ----------------------------------------------------------------------------------------------
@@ -176,7 +187,7 @@ def op7_range_ans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = packing.pieces(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), 1)
+    cut = packing.pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 1)
     return packing.assign(cut).drop("pid")
 
 
@@ -213,3 +224,16 @@ def op4_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document and benchmark item that it holds."""
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# --- 2: PII surrogates ------------------------------------------------------------------------------------------------
+
+#: Whoever runs this on real data brings a secret of their own; results under one key are stable.
+SURROGATE_KEY = "example key"
+
+
+@query
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its entities replaced, and how many there were."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace(docs, SURROGATE_KEY, counted="n_entities")
