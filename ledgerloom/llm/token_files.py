@@ -28,6 +28,8 @@ from ledgerloom.llm.common import narrow
 from ledgerloom.llm.tokens import as_u32, encoder
 from ledgerloom.session import new_path, pin
 
+#: Most tasks that read back; with more runs than that, a task takes several.
+_TASKS = 20_000
 FILES = "part bigint, seq bigint, path string, n_docs bigint, n_tokens bigint, runs array<struct<doc:bigint,docs:bigint,token:bigint,tokens:bigint>>"
 
 
@@ -117,4 +119,5 @@ def read(listed: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return runs.repartition(F.col("path"), F.col("doc")).mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    tasks = listed.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0]  # so few bytes that Spark would put all into one task
+    return runs.repartition(max(1, min(tasks, _TASKS)), "path", "doc").mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -36,6 +36,8 @@ _ENTRY = pa.schema([
 _ENTRIES = pa.schema([("run", pa.int64()), ("seq", pa.int64()), *_ENTRY])
 #: Equal payloads that are held by every task while pages are written; with more, a shuffled join finds them.
 _HELD = 100_000
+#: Most tasks that read archives; with more archives than that, a task takes several.
+_TASKS = 20_000
 
 
 def write(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, file_bytes: int = 1 << 26) -> DataFrame:
@@ -94,7 +96,8 @@ def runs(listed: DataFrame) -> DataFrame:
                 numbers = [pa.array([row["run"]] * len(entries), pa.int64()), pa.array(range(len(entries)), pa.int64())]
                 yield pa.RecordBatch.from_arrays([*numbers, *[pa.array(c, f.type) for c, f in zip(columns, _ENTRY)]], schema=_ENTRIES)
 
-    return pin(listed.repartition("path").mapInArrow(index, f"run bigint, seq bigint, {ENTRY}"), "warc-runs")
+    tasks = max(1, min(listed.count(), _TASKS))  # a list so short would go to one task
+    return pin(listed.repartition(tasks, "path").mapInArrow(index, f"run bigint, seq bigint, {ENTRY}"), "warc-runs")
 
 
 def _key(e: dict) -> tuple:
