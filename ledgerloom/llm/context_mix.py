@@ -19,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 
 #: (kind, bits of the hashed context); the kinds are the 1, 2 and 4 bytes before, and the current word so far.
-KINDS = (("b1", 8), ("b2", 14), ("b4", 15), ("word", 15))
+KINDS = (("b1", 8), ("b2", 14), ("b4", 14), ("word", 14))
 OFFSETS = np.cumsum([0, *[1 << bits for _, bits in KINDS]])
 CONTEXTS = int(OFFSETS[-1])  # rows of the joint table
 BLOCK, SPAN, HISTORY = 256, 2048, 16
@@ -53,14 +53,14 @@ def contexts(window: np.ndarray) -> np.ndarray:
     pair = at(1) | (at(2) << np.uint32(8))
     out[1] = _hash(pair, 14) + np.uint32(OFFSETS[1])
     four = pair | (at(3) << np.uint32(16)) | (at(4) << np.uint32(24))
-    out[2] = _hash(four ^ (four >> np.uint32(15)), 15) + np.uint32(OFFSETS[2])
+    out[2] = _hash(four ^ (four >> np.uint32(15)), 14) + np.uint32(OFFSETS[2])
     sums = np.zeros((lanes, width + 1), dtype=np.uint32)
     np.cumsum((wide + np.uint32(1)) * _POWERS[:width], axis=1, dtype=np.uint32, out=sums[:, 1:])
     begin = _SPACE[window] * np.arange(1, width + 1, dtype=np.int32)
     begin = np.maximum.accumulate(begin, axis=1)[:, HISTORY - 1 : width - 1]
     before = sums.reshape(-1)[begin + (np.arange(lanes, dtype=np.int64) * (width + 1))[:, None]]
     word = (sums[:, HISTORY:width] - before) * _BACK[begin]
-    out[3] = _hash(word ^ (word >> np.uint32(15)), 15) + np.uint32(OFFSETS[3])
+    out[3] = _hash(word ^ (word >> np.uint32(15)), 14) + np.uint32(OFFSETS[3])
     return out
 
 

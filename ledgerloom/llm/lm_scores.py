@@ -59,6 +59,8 @@ def _hash(word: bytes) -> int:
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word counts (block -1: hash and count) and context counts (block: packed cells and counts)."""
+    _scorer.cache_clear()  # a worker that scored before need not hold two models
+    _word_counts.cache_clear()
     table = np.zeros((mix.CONTEXTS, 256), dtype=np.uint32)
     seen: Counter[bytes] = Counter()
     texts: list[bytes] = []
@@ -83,7 +85,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size >= _BATCH:
                 mix.count(texts, table)
                 texts, size = [], 0
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 yield word_rows()
                 seen.clear()
     mix.count(texts, table)
@@ -166,6 +168,7 @@ def _word_counts(uri: str) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
     if not stored.num_rows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), {}
     hashes, counts = stored["word"].to_numpy(), stored["n"].to_numpy()
+    del stored
     order = np.argsort(hashes)
     return hashes[order], counts[order], {}
 
@@ -179,7 +182,7 @@ def _known(found: Counter[bytes], uri: str) -> np.ndarray:
     hashes, counts, cache = _word_counts(uri)
     missing = [w for w in found if w not in cache]
     if missing:
-        if len(cache) > 300_000:
+        if len(cache) > 150_000:
             cache.clear()
             missing = list(found)
         keys = np.array([_hash(w) for w in missing], dtype=np.int64)
