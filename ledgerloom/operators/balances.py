@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom import constants as K
-from ledgerloom.operators.blocks import BLOCK_ROWS, HOT_ROWS, HotKeys, prior_totals
+from ledgerloom.operators.blocks import BLOCK_ROWS, HOT_ROWS, HotKeys, global_index, prior_totals
 
 
 def account_events(df: DataFrame) -> DataFrame:
@@ -33,16 +33,22 @@ def running_balances(
     The clamped balance never falls below zero: it is the plain one minus the
     lowest (negative) prefix so far. Credit accounts, which hold debt, are
     clamped at zero from above instead.
+
+    Blocks of hot accounts follow the order of the window itself: with a hot
+    account all events are numbered in (step, side, row_id) order, which also
+    stores them, so that they are derived once.
     """
     start = F.lit(opening) if isinstance(opening, float) else opening
     events = account_events(df)
-    keys = HotKeys(events, ["account"], "row_id", hot_rows, block_rows)
+    moment = ["step", "side", "row_id"]
+    keys = HotKeys(events, ["account"], "_at", hot_rows, block_rows)
+    if keys.found:
+        events = global_index(events, moment, "_at")
     hot = keys.only(events)
-    order = Window.partitionBy("account", "_blk").orderBy("step", "side", "row_id")
+    order = Window.partitionBy("account", "_blk").orderBy(*moment)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     carried = prior_totals(hot, ["account"], {"_sum": ("sum", F.col("delta"))})
 
-
     def balanced(rows: DataFrame) -> DataFrame:
         summed = keys.carry(rows.withColumn("_in", F.sum("delta").over(upto)), carried, {"_sum": "double"})
         return summed.withColumn("balance", start + F.coalesce("_sum", F.lit(0.0)) + F.col("_in"))

@@ -31,12 +31,25 @@ def account_types(df: DataFrame, user: str | None = None) -> DataFrame:
     return mine.where(F.col("account_type").isNotNull()).select("persona_id", "account_type").distinct()
 
 
+def latest_month(whole: DataFrame) -> str | None:
+    """The last month with rows. With a year column only the last year is read: first its number, then its dates."""
+    if "simulation_year" in whole.columns:
+        year = whole.agg(F.max("simulation_year")).first()[0]
+        whole = whole.where(F.col("simulation_year") == year) if year is not None else whole
+    return whole.agg(F.max(C.month_of())).first()[0]
+
+
 def for_month(df: DataFrame, whole: DataFrame, month: str | None = None) -> DataFrame:
-    """Rows of `month`; by default the latest month of the *whole* ledger."""
-    if month:
-        # a range over the ISO text reaches the scan's row-group statistics
-        return df.where(F.col("date").between(f"{month}-01", f"{month}-31"))
-    return df.where(F.col("date") >= F.concat(whole.agg(F.max(C.month_of())).scalar(), F.lit("-01")))
+    """Rows of `month`; by default the latest month of the *whole* ledger.
+
+    The month enters as literals: the year selects partitions where the ledger
+    has them, and the range of dates reaches the scan's row-group statistics.
+    """
+    month = month or latest_month(whole)
+    if month is None:
+        return df.limit(0)
+    rows = df.where(F.col("date").between(f"{month}-01", f"{month}-31"))
+    return rows.where(F.col("simulation_year") == int(month[:4])) if "simulation_year" in df.columns else rows
 
 
 def explore(
@@ -104,8 +117,9 @@ def positive_amounts(df: DataFrame) -> DataFrame:
 
 
 def page(df: DataFrame, limit: int, offset: int) -> DataFrame:
-    """One page in row order; `limit` is kept within 1..5000 like the service does."""
-    limit = max(1, min(limit, 5000))
+    """One page in row order. Deep pages are cheaper with `page_after`."""
+    if limit < 1 or offset < 0:
+        raise ValueError("a page has at least one row and no negative offset")
     return df.orderBy("row_id").offset(offset).limit(limit)
 
 

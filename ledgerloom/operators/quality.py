@@ -143,5 +143,20 @@ def region_signal(df: DataFrame) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free digest of the whole content: equal content gives equal digests."""
-    return df.agg(F.bit_xor(F.xxhash64(*sorted(df.columns))).alias("digest"), F.count("*").alias("n"))
+    """Order-free digests of the whole content: sums of row hashes, so repeated rows count.
+
+    ``digest`` adds 60 bits of the MD5 of each row written as text, floating
+    numbers with six digits, and can be recomputed anywhere. ``exact`` adds
+    64-bit hashes of the binary values and tells any two numbers apart.
+    """
+    fields = sorted(df.schema.fields, key=lambda f: f.name)
+    number = lambda f: f.dataType.typeName() in ("double", "float")
+    text = lambda f: (F.col(f.name).cast("decimal(38,6)") if number(f) else F.col(f.name)).cast("string")
+    line = F.concat(*[F.concat(F.coalesce(text(f), F.lit("\\N")), F.lit("\x1f")) for f in fields])
+    part = F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("decimal(20,0)")
+    exact = F.xxhash64(*[f.name for f in fields], F.lit(len(fields)))
+    return df.agg(
+        F.coalesce(F.sum(part), F.lit(0)).cast("decimal(38,0)").cast("string").alias("digest"),
+        F.coalesce(F.sum(exact.cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)").cast("string").alias("exact"),
+        F.count("*").alias("n"),
+    )

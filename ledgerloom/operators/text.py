@@ -9,8 +9,8 @@ from ledgerloom import constants as K
 
 # fixed values: patterns
 MONTH_PATTERN = r"\d{4}-\d{2}"
-NAMED_ID = r"(?:^|[^\p{L}\p{N}_])(?:transaction|txn|id)\s+([0-9]{1,7})(?:$|[^\p{L}\p{N}_])"
-BARE_ID = r"(?:^|[^\p{L}\p{N}_])([0-9]{1,7})(?:$|[^\p{L}\p{N}_])"
+NAMED_ID = r"(?:^|[^\p{L}\p{N}_])(?:transaction|txn|id)\s+([0-9]{1,18})(?:$|[^\p{L}\p{N}_])"
+BARE_ID = r"(?:^|[^\p{L}\p{N}_])([0-9]{1,18})(?:$|[^\p{L}\p{N}_])"
 AMOUNT_PATTERN = r"(-?\$[0-9,]+(?:\.[0-9]+)?)"
 PERCENT_PATTERN = r"(-?[0-9]+(?:\.[0-9]+)?)%"
 MONTH_NAMES = [

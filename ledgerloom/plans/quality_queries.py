@@ -11,7 +11,7 @@ from ledgerloom.operators import detectors as D
 from ledgerloom.plans.registry import query
 from ledgerloom.plans.rule_queries import NEAREST_SQL
 from ledgerloom.plans.sqlkit import GROUP_CASE, in_list, over_ledger, rnd, sql_list
-from ledgerloom.sources.ledger import ledger
+from ledgerloom.sources.ledger import LEDGER, ledger
 
 # ---------------------------------------------------------------- balances
 EVENTS_SQL = """events2 AS (SELECT nameOrig AS account, step, 0 AS side, row_id, CASE WHEN type IN ('SALARY', 'CASH_IN') THEN amount ELSE -amount END AS delta FROM ledger
@@ -214,9 +214,22 @@ def _(spark, sf):
     return quality.region_signal(ledger(spark, sf))
 
 
-@query("content_fingerprint")
+def _row_text() -> str:
+    parts = []
+    for f in sorted(LEDGER.fields, key=lambda f: f.name):
+        value = f"CAST({f.name} AS DECIMAL(38,6))" if f.dataType.typeName() == "double" else f.name
+        parts.append(f"coalesce(CAST({value} AS VARCHAR), '\\N') || chr(31)")
+    return " || ".join(parts)
+
+
+@query(
+    "content_fingerprint",
+    over_ledger(
+        f"SELECT CAST(sum(CAST(CAST('0x' || substr(md5({_row_text()}), 1, 15) AS BIGINT) AS DECIMAL(38,0))) AS VARCHAR) AS digest, count(*) AS n FROM ledger"
+    ),
+)
 def _(spark, sf):
-    return quality.fingerprint(ledger(spark, sf))
+    return quality.fingerprint(ledger(spark, sf)).select("digest", "n")
 
 
 # ---------------------------------------------------------------- detectors

@@ -173,7 +173,7 @@ def _(spark, sf):
 
 MENTIONS = r"""mentions AS (SELECT session_id, turn,
   CASE WHEN list_contains(ms, iso) THEN iso WHEN contains(q, 'last month') THEN ms[greatest(len(ms) - 1, 1)] ELSE coalesce(NAMES) END AS month,
-  CAST(coalesce(nullif(regexp_extract(q, '(?:^|[^\p{L}\p{N}_])(?:transaction|txn|id)\s+([0-9]{1,7})(?:$|[^\p{L}\p{N}_])', 1), ''), nullif(regexp_extract(q, '(?:^|[^\p{L}\p{N}_])([0-9]{1,7})(?:$|[^\p{L}\p{N}_])', 1), '')) AS BIGINT) AS transaction_id,
+  CAST(coalesce(nullif(regexp_extract(q, '(?:^|[^\p{L}\p{N}_])(?:transaction|txn|id)\s+([0-9]{1,18})(?:$|[^\p{L}\p{N}_])', 1), ''), nullif(regexp_extract(q, '(?:^|[^\p{L}\p{N}_])([0-9]{1,18})(?:$|[^\p{L}\p{N}_])', 1), '')) AS BIGINT) AS transaction_id,
   CATS AS category
   FROM (SELECT *, regexp_extract(q, '[0-9]{4}-[0-9]{2}', 0) AS iso FROM (SELECT *, lower(text) AS q FROM questions)), (SELECT list(DISTINCT substr(date, 1, 7) ORDER BY substr(date, 1, 7)) AS ms FROM ledger))""".replace(
     "NAMES",

@@ -35,6 +35,23 @@ def test_balances(spark, skewed):
     same(balances.running_balances(skewed, 500.0), balances.running_balances(skewed, 500.0, hot_rows=60, block_rows=25))
 
 
+@pytest.mark.parametrize("block_rows", range(1, 8))
+def test_balances_with_many_rows_per_hour(spark, block_rows):
+    """Hours hold more rows than a block, and transfers between two accounts put both sides into the same hour."""
+    crowded = ledger(spark, random_rows(11, 60, accounts=2, steps=5, hot_share=0.4)).withColumn("amount", F.col("amount") + F.col("row_id") % 100 / 100)
+    cents = lambda d: d.select("account", "step", "side", "row_id", *[F.round(c, 2).alias(c) for c in ("delta", "balance", "clamped")])
+    plain = balances.running_balances(crowded, 500.0)
+    same(cents(plain), cents(balances.running_balances(crowded, 500.0, hot_rows=10, block_rows=block_rows)))
+
+
+@pytest.mark.parametrize("block_rows", [1, 2, 5, 7])
+def test_other_blocks_with_many_rows_per_hour(spark, block_rows):
+    crowded = ledger(spark, random_rows(12, 60, accounts=2, steps=5, hot_share=0.4)).cache()
+    same(quality.chain_breaks(crowded), quality.chain_breaks(crowded, hot_rows=10, block_rows=block_rows))
+    rounded = lambda d: d.select("row_id", *[F.bround(c, 9).alias(c) for c in FEATURES])
+    same(rounded(build_features(crowded)), rounded(build_features(crowded, hot_rows=10, block_rows=block_rows)))
+
+
 def test_chain(spark, skewed):
     same(quality.chain_breaks(skewed), quality.chain_breaks(skewed, hot_rows=60, block_rows=25))
 

@@ -91,6 +91,14 @@ def test_fingerprint_ignores_order(spark):
     assert fingerprint(df).first() != fingerprint(df.where("row_id > 0")).first()
 
 
+def test_fingerprint_counts_repeated_rows(spark):
+    numbers = lambda *xs: fingerprint(spark.createDataFrame([(x, None) for x in xs], "x double, y string")).first()
+    one, other = numbers(1.0, 1.0, 2.0), numbers(2.0, 3.0, 3.0)
+    assert one["digest"] != other["digest"] and one["exact"] != other["exact"]
+    assert numbers(1.0)["digest"] == numbers(1.0 + 1e-9)["digest"] and numbers(1.0)["exact"] != numbers(1.0 + 1e-9)["exact"]
+    assert fingerprint(spark.createDataFrame([], "x double, y string")).first()["n"] == 0
+
+
 def test_json_lines(spark, tmp_path):
     path = tmp_path / "log.jsonl"
     path.write_text('{"row_index": 1}\nnot json\n{"row_index": 2}\n')
