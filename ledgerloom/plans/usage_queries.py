@@ -287,7 +287,7 @@ def _(spark, sf):
 @query(
     "alert_payload",
     over_ledger(
-        "SELECT row_id AS row_index, json_object('row_index', row_id, 'date', date, 'merchant', merchant, 'amount', amount, 'category', category, 'type', type, 'risk_score', risk_score, 'rule_score', rule_score, 'model_score', model_score, 'reason', reason, 'fraud_archetype', fraud_archetype)::VARCHAR AS payload FROM scored WHERE risk_score >= 0.7 ORDER BY risk_score DESC, row_id LIMIT 25",
+        "SELECT row_id AS row_index, json_object('row_index', row_id, 'date', date, 'merchant', merchant, 'amount', amount, 'category', category, 'type', type, 'risk_score', risk_score, 'rule_score', rule_score, 'model_score', model_score, 'reason', reason, 'fraud_archetype', fraud_archetype)::VARCHAR AS payload, (SELECT greatest(count(*) - 25, 0) FROM scored WHERE risk_score >= 0.7) AS left_out FROM scored WHERE risk_score >= 0.7 ORDER BY risk_score DESC, row_id LIMIT 25",
         *SCORED_CTES,
     ),
 )

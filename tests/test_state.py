@@ -49,7 +49,18 @@ def test_payload_is_capped_and_finite(spark):
 
 
 class State:
+    hasTimedOut = False
+
     def __init__(self):
+        self.value, self.timeout = None, None
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+    def setTimeoutTimestamp(self, ms):
+        self.timeout = ms
+
+    def remove(self):
         self.value = None
 
     @property
@@ -69,6 +80,29 @@ def test_limiter_ignores_refused_requests():
     run = lambda *t: list(pd.concat(step(("k",), iter([pd.DataFrame({"event_id": range(len(t)), "us": [x * sec for x in t]})]), state)).allowed)
     assert run(0, 10, 20, 59) == [True, True, False, False]
     assert run(60, 61, 70) == [True, False, True]  # the hit at 0 has aged out, refused ones never counted
+    assert state.timeout > 130_000  # a window after the last granted request
+    state.hasTimedOut = True
+    assert list(step(("k",), iter([]), state)) == [] and state.value is None
+
+
+def test_streams_in_batches_drop_only_late_rows(spark):
+    """Rows in time order all count, also those a little out of order; a row behind the watermark is dropped."""
+    from ledgerloom.session import new_path
+    from ledgerloom.streaming import jobs, runs
+
+    def hits(*batches):
+        folder = new_path(spark, "late")
+        for batch in batches:
+            rows = spark.createDataFrame([(m, "k", 1.0) for m in batch], "m long, k string, v double")
+            rows.select(F.timestamp_seconds(F.col("m") * 60).alias("ts"), "k", "v").coalesce(1).write.mode("append").parquet(folder)
+        schema = spark.read.parquet(folder).schema
+        windows = jobs.windowed_spend(runs.stream_of(spark, folder, schema), "ts", "k", "v", "1 hour")
+        out = runs.run_batches(windows, "late-windows", runs.keep_batch)
+        latest = runs.latest_per_key(spark, out, ["window_start", "window_end", "k"], windows.schema)
+        return latest.agg(F.sum("n")).first()[0]
+
+    assert hits([0, 50], [90, 40], [200], [230]) == 6
+    assert hits([0, 50], [300], [301], [10, 302]) == 5
 
 
 def test_store_reloads_only_on_change(spark, tmp_path):
