@@ -6,9 +6,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: `length` is a leaf's depth over the expected depth of its tree's own sample.
 NODES = "tree int, node int, feature int, threshold double, left int, right int, length double"
 
 
@@ -22,17 +25,19 @@ def expected_depth(n: float) -> float:
 
 
 def _samples(df: DataFrame, trees: int, per_tree: int, seed: int) -> DataFrame:
-    """About `per_tree` rows for each tree, drawn by hash so that a rerun draws the same."""
-    n = df.count()
+    """About `per_tree` rows for each tree, drawn by hash so that a rerun draws the same.
+
+    Every row enters trees * per_tree / n samples on average, the fraction by a
+    hashed draw, each time that of a hashed tree. This is sampling with
+    replacement, the same at every table size.
+    """
+    share = trees * per_tree / max(df.count(), 1)
+    whole, rest = int(share), share - int(share)
     span = 1 << 30
-    draw = lambda *salt: F.pmod(F.xxhash64(*[F.lit(s) for s in salt], F.col("row_id")), F.lit(span))
-    if n >= trees * per_tree:
-        kept = df.where(draw(seed) < F.lit(int(span * trees * per_tree / n)))
-        return kept.withColumn("tree", F.pmod(F.xxhash64(F.lit(seed + 1), "row_id"), F.lit(trees)).cast("int"))
-    # a small table: the trees' samples overlap
-    limit = int(span * min(1.0, per_tree / max(n, 1)))
-    hit = lambda t: F.pmod(F.xxhash64(F.lit(seed), t, F.col("row_id")), F.lit(span)) < F.lit(limit)
-    return df.withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), hit)))
+    draw = lambda salt, *more: F.xxhash64(F.lit(salt), *more, F.col("row_id"))
+    copies = F.lit(whole) + (F.pmod(draw(seed), F.lit(span)) < F.lit(int(span * rest))).cast("int")
+    drawn = df.withColumn("_copy", F.explode(F.filter(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))), lambda c: c <= copies)))
+    return drawn.withColumn("tree", F.pmod(draw(seed + 1, F.col("_copy")), F.lit(trees)).cast("int")).drop("_copy")
 
 
 def _grow(columns: Sequence[str], seed: int, max_depth: int):
@@ -41,12 +46,13 @@ def _grow(columns: Sequence[str], seed: int, max_depth: int):
         rng = np.random.default_rng([seed, tree])
         x = pdf.sort_values("row_id")[list(columns)].to_numpy(dtype=np.float64)
         rows, todo, count = [], [(0, np.arange(len(x)), 0)], 1
+        norm = expected_depth(len(x)) or 1.0
         while todo:
             node, idx, depth = todo.pop()
             low, high = x[idx].min(0), x[idx].max(0)
             splittable = np.flatnonzero(high > low)
             if depth >= max_depth or len(idx) <= 1 or not len(splittable):
-                rows.append((tree, node, -1, 0.0, -1, -1, depth + expected_depth(len(idx))))
+                rows.append((tree, node, -1, 0.0, -1, -1, (depth + expected_depth(len(idx))) / norm))
                 continue
             f = int(rng.choice(splittable))
             cut = float(rng.uniform(low[f], high[f]))
@@ -70,14 +76,16 @@ def fit(df: DataFrame, columns: Sequence[str], trees: int = 250, per_tree: int =
     return forest
 
 
-def score(df: DataFrame, columns: Sequence[str], forest: list[tuple[np.ndarray, ...]], per_tree: int = 256, name: str = "isolation_raw") -> DataFrame:
-    """(row_id, score): 2 ** (-mean path length / expected length); higher is stranger."""
+def score(
+    df: DataFrame, columns: Sequence[str], forest: list[tuple[np.ndarray, ...]], name: str = "isolation_raw", keep: Sequence[str] = ("row_id",)
+) -> DataFrame:
+    """`keep` and the score 2 ** -(mean of path length / expected length of the tree's sample); higher is stranger."""
     shared = df.sparkSession.sparkContext.broadcast(forest)
-    norm = expected_depth(per_tree)
+    keep, fields = list(keep), {f.name: f for f in df.schema.fields}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = pdf[list(columns)].to_numpy(dtype=np.float64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns]).astype(np.float64)
             total, every = np.zeros(len(x)), np.arange(len(x))
             for feature, threshold, left, right, length in shared.value:
                 at = np.zeros(len(x), dtype=np.int64)
@@ -88,6 +96,8 @@ def score(df: DataFrame, columns: Sequence[str], forest: list[tuple[np.ndarray,
                     at = np.where(inner, step, at)
                     inner = feature[at] >= 0
                 total += length[at]
-            yield pd.DataFrame({"row_id": pdf["row_id"], name: np.power(2.0, -(total / max(len(shared.value), 1)) / norm)})
+            scores = pa.array(np.power(2.0, -total / max(len(shared.value), 1)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], scores], [*keep, name])
 
-    return df.select("row_id", *columns).mapInPandas(run, f"row_id long, {name} double")
+    schema = T.StructType([*[fields[c] for c in keep], T.StructField(name, T.DoubleType())])
+    return df.select(*dict.fromkeys([*keep, *columns])).mapInArrow(run, schema)

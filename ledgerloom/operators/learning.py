@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import columns as C
 from ledgerloom.operators import evaluation as E
 from ledgerloom.operators import isolation
+from ledgerloom.operators.blocks import global_index
 from ledgerloom.operators.features import FEATURES
 from ledgerloom.session import new_path, pin
 
@@ -58,10 +59,10 @@ class Spec:
 def registry(seed: int = 42, trees: int = 250, rounds: int = 300) -> dict[str, Spec]:
     """The benchmark's six models. `trees` and `rounds` are the full sizes."""
     return {
-        "logistic_regression": Spec("logistic", {"maxIter": 100}, scaled=True, explainable=True),
+        "logistic_regression": Spec("logistic", {"maxIter": 2000}, scaled=True, explainable=True),
         "random_forest": Spec("forest", {"numTrees": trees, "maxDepth": 8, "seed": seed}),
         "gradient_boosting": Spec("boosting", {"maxIter": rounds, "stepSize": 0.05, "maxDepth": 5, "seed": seed}, explainable=True),
-        "linear_svm": Spec("svm", {"maxIter": 50}, scaled=True),
+        "linear_svm": Spec("svm", {"maxIter": 2000}, scaled=True),
         "isolation_forest": Spec("isolation", {"trees": trees, "seed": seed}),
         "reconstruction_error": Spec("reconstruction", {"k": 16}, scaled=True),
     }
@@ -93,8 +94,7 @@ class Fitted:
         rows = self.prepared(df)
         kind = self.spec.kind
         if kind == "isolation":
-            raw = isolation.score(rows, self.columns, self.model, name=name)
-            return raw if list(keep) == ["row_id"] else df.select(*keep).join(raw, "row_id")
+            return isolation.score(rows, self.columns, self.model, name=name, keep=keep)
         if kind == "reconstruction":
             basis = self.model.pc.toArray()
 
@@ -196,24 +196,23 @@ def feature_importance(fitted: Fitted, top: int = 15) -> DataFrame:
     return frame.orderBy(F.desc("importance"), "feature").limit(top)
 
 
-def permutation_importance(fitted: Fitted, holdout: DataFrame, repeats: int = 5, rows: int = 500, top: int = 15) -> DataFrame:
-    """Mean loss of PR-AUC when one feature is shuffled among the first `rows` holdout rows.
+def permutation_importance(fitted: Fitted, holdout: DataFrame, repeats: int = 5, top: int = 15) -> DataFrame:
+    """Mean loss of PR-AUC when one feature is shuffled among all holdout rows.
 
-    The shuffle is by hash order, so a rerun shuffles the same way. All
-    (feature, repeat) variants are scored as one frame.
+    The shuffle is by hash order, so a rerun shuffles the same way: rows are
+    numbered by id and, per repeat, by hash, and the row of the same number
+    lends its features. All features of a repeat are scored as one frame.
     """
-    from pyspark.sql import Window
-
-    sample = pin(holdout.orderBy("row_id").limit(rows).select("row_id", "y", *fitted.columns), "permutation")
-    spread = sample.withColumn("repeat", F.explode(F.array(*[F.lit(i) for i in range(repeats)])))
-    here = Window.partitionBy("repeat").orderBy("row_id")
-    there = Window.partitionBy("repeat").orderBy(F.xxhash64("repeat", "row_id"))
-    placed = spread.withColumn("_at", F.row_number().over(here)).withColumn("_to", F.row_number().over(there))
-    donor = placed.select("repeat", F.col("_to").alias("_at"), F.struct(*fitted.columns).alias("donor"))
-    pairs = placed.drop("_to").join(donor, ["repeat", "_at"]).withColumn("feature", F.explode(F.array(*[F.lit(c) for c in fitted.columns])))
-    mixed = pairs.withColumns({c: F.when(F.col("feature") == c, F.col(f"donor.{c}")).otherwise(F.col(c)) for c in fitted.columns})
-    shuffled = E.metrics(fitted.scores(mixed.drop("donor", "_at"), keep=["y", "feature", "repeat"]), by=["feature", "repeat"])
-    base = E.metrics(fitted.scores(sample, keep=["y"])).select("pr_auc").scalar()
+    rows = pin(global_index(holdout.select("row_id", "y", *fitted.columns), ["row_id"], "_at"), "permutation")
+    base = E.metrics(fitted.scores(rows, keep=["y"])).select("pr_auc").scalar()
+    shuffled = None
+    for repeat in range(repeats):
+        places = global_index(rows.select("row_id"), [F.xxhash64(F.lit(repeat), F.col("row_id")), F.col("row_id")], "_at")
+        donor = places.join(rows.select("row_id", F.struct(*fitted.columns).alias("donor")), "row_id").select("_at", "donor")
+        pairs = rows.join(donor, "_at").withColumn("feature", F.explode(F.array(*[F.lit(c) for c in fitted.columns])))
+        mixed = pairs.withColumns({c: F.when(F.col("feature") == c, F.col(f"donor.{c}")).otherwise(F.col(c)) for c in fitted.columns})
+        part = E.metrics(fitted.scores(mixed.drop("donor", "_at"), keep=["y", "feature"]), by=["feature"])
+        shuffled = part if shuffled is None else shuffled.unionByName(part)
     return (
         shuffled.groupBy("feature")
         .agg(F.avg(base - F.col("pr_auc")).alias("importance"))
@@ -255,17 +254,41 @@ def explain(fitted: Fitted, df: DataFrame, top: int = 8) -> DataFrame:
     Boosted trees: change of the expected margin along each decision path. Rows
     are scored first and explained after, so `df` is usually a short list.
     """
-    columns = fitted.columns
     kind = fitted.spec.kind
     if kind == "logistic":
-        weights, bias = fitted.model.coefficients.toArray(), float(fitted.model.intercept)
-
-        def contributions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            return x * weights, np.full(len(x), bias)  # scaled features have mean zero
+        out = _linear_parts(fitted, df)
     elif kind == "boosting":
-        trees = _tree_nodes(fitted, df)
+        out = _tree_parts(fitted, df)
+    else:
+        raise ValueError(f"no additive explanation for {kind}")
+    return out.withColumn("base_probability", C.rnd(C.logistic(F.col("bias")), 4)).withColumn(
+        "top_features", F.slice("all_features", 1, top)
+    )
+
+
+def _linear_parts(fitted: Fitted, df: DataFrame) -> DataFrame:
+    """Coefficient times scaled feature, whose training mean is zero; plain expressions."""
+    weights, bias = fitted.model.coefficients.toArray(), float(fitted.model.intercept)
+    scaled = fitted.scaler.transform(df) if fitted.scaler else df
+    parts = [F.struct(F.lit(c).alias("feature"), (F.col(c) * F.lit(float(w))).alias("contribution")) for c, w in zip(fitted.columns, weights)]
+
+    def larger_first(a, b):
+        x, y = F.abs(a["contribution"]), F.abs(b["contribution"])
+        return F.when(x > y, -1).when(x < y, 1).otherwise(0)
+
+    rows = scaled.select("row_id", F.array(*parts).alias("parts"))
+    total = F.aggregate("parts", F.lit(bias), lambda t, p: t + p["contribution"])
+    return rows.select("row_id", F.lit(bias).alias("bias"), total.alias("log_odds"), F.array_sort("parts", larger_first).alias("all_features"))
+
 
-        def contributions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _tree_parts(fitted: Fitted, df: DataFrame) -> DataFrame:
+    """Contributions of boosted trees as number arrays; the features are named afterwards."""
+    columns, trees = fitted.columns, _tree_nodes(fitted, df)
+    base = sum(t["value"][0] for t in trees)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = np.asarray(pdf["x"].tolist(), dtype=np.float64).reshape(len(pdf), len(columns))
             out, every = np.zeros_like(x), np.arange(len(x))
             for t in trees:
                 at = np.zeros(len(x), dtype=np.int64)
@@ -277,23 +300,17 @@ def explain(fitted: Fitted, df: DataFrame, top: int = 8) -> DataFrame:
                     np.add.at(out, (every[inner], f[inner]), (t["value"][nxt] - t["value"][at])[inner])
                     at = nxt
                     inner = t["left"][at] >= 0
-            return out, np.full(len(x), sum(t["value"][0] for t in trees))
-    else:
-        raise ValueError(f"no additive explanation for {kind}")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            values, bias = contributions(np.asarray(pdf["x"].tolist(), dtype=np.float64).reshape(len(pdf), len(columns)))
-            order = np.argsort(-np.abs(values), axis=1, kind="stable")
-            listed = [[{"feature": columns[j], "contribution": float(v[j])} for j in o] for v, o in zip(values, order)]
-            yield pd.DataFrame({"row_id": pdf["row_id"], "bias": bias, "log_odds": values.sum(1) + bias, "all_features": listed})
+            order = np.argsort(-np.abs(out), axis=1, kind="stable")
+            sizes = np.take_along_axis(out, order, axis=1)
+            yield pd.DataFrame({"row_id": pdf["row_id"], "log_odds": out.sum(1) + base, "places": list(order), "sizes": list(sizes)})
 
     rows = fitted.prepared(df).select("row_id", vector_to_array("features").alias("x"))
-    shape = "row_id long, bias double, log_odds double, all_features array<struct<feature: string, contribution: double>>"
-    out = rows.mapInPandas(run, shape)
-    return out.withColumn("base_probability", C.rnd(C.logistic(F.col("bias")), 4)).withColumn(
-        "top_features", F.slice("all_features", 1, top)
+    found = rows.mapInPandas(run, "row_id long, log_odds double, places array<long>, sizes array<double>")
+    names = F.array(*[F.lit(c) for c in columns])
+    named = F.zip_with(
+        "places", "sizes", lambda i, v: F.struct(F.element_at(names, (i + 1).cast("int")).alias("feature"), v.alias("contribution"))
     )
+    return found.select("row_id", F.lit(float(base)).alias("bias"), "log_odds", named.alias("all_features"))
 
 
 def canary(old: Fitted, new: Fitted, holdout: DataFrame, tolerance: float = 0.05) -> DataFrame:

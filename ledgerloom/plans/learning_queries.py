@@ -20,15 +20,17 @@ SPECS = L.registry(trees=20, rounds=10)
 _FITTED: dict = {}
 
 
-def _split(spark, sf):
-    return L.training_split(stored_features(spark, sf), 0.25, 600_000)
+def _split(spark, sf, labelled=True):
+    """The bound on training rows is for models that use labels; the others see all earlier rows."""
+    return L.training_split(stored_features(spark, sf), 0.25, 600_000 if labelled else None)
 
 
 def _model(spark, sf, name):
     """Each model is trained once per application and table."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _FITTED:
-        _FITTED[key] = L.fit(SPECS[name], _split(spark, sf)[0])
+        labelled = SPECS[name].kind not in ("isolation", "reconstruction")
+        _FITTED[key] = L.fit(SPECS[name], _split(spark, sf, labelled)[0])
     return _FITTED[key]
 
 
@@ -65,10 +67,10 @@ for _name in SPECS:
 def _(spark, sf):
     """Rules, model and isolation score of every row; model scores are stored before the range is read."""
     features = stored_features(spark, sf)
-    supervised = _model(spark, sf, "gradient_boosting").scores(features, "model_raw")
-    strange = _model(spark, sf, "isolation_forest").scores(features, "isolation_raw")
+    strange = _model(spark, sf, "isolation_forest").scores(features, "isolation_raw", keep=["row_id", *FEATURES])
+    both = _model(spark, sf, "gradient_boosting").scores(strange, "model_raw", keep=["row_id", "isolation_raw"])
     flags = rules.rule_risk_flags(ledger(spark, sf)).select("row_id", "date", "merchant", "amount", "category", "rule_score", "rule_reason")
-    scored = pin(flags.join(supervised, "row_id").join(strange, "row_id"), "scores")
+    scored = pin(flags.join(both, "row_id"), "scores")
     return rules.blend(scored)
 
 
@@ -97,7 +99,7 @@ def _(spark, sf):
 
 @query("permutation_importance")
 def _(spark, sf):
-    return L.permutation_importance(_model(spark, sf, "random_forest"), _split(spark, sf)[1], repeats=2)
+    return L.permutation_importance(_model(spark, sf, "random_forest"), _split(spark, sf)[1])
 
 
 @query("canary_run")

@@ -49,9 +49,9 @@ def test_isolation_forest_finds_the_outlier(spark):
     x[0] = (9.0, -9.0)
     df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "row_id long, u double, v double")
     forest = isolation.fit(df, ["u", "v"], trees=40, per_tree=256)
-    top = isolation.score(df, ["u", "v"], forest, 256).orderBy(F.desc("isolation_raw")).first()
+    top = isolation.score(df, ["u", "v"], forest).orderBy(F.desc("isolation_raw")).first()
     assert top["row_id"] == 0 and len(forest) == 40
-    again = isolation.score(df, ["u", "v"], isolation.fit(df.repartition(3), ["u", "v"], trees=40, per_tree=256), 256)
+    again = isolation.score(df, ["u", "v"], isolation.fit(df.repartition(3), ["u", "v"], trees=40, per_tree=256))
     assert again.where("row_id = 0").first()["isolation_raw"] == pytest.approx(top["isolation_raw"])
 
 
@@ -73,3 +73,17 @@ def test_adoption_gate(spark):
     trials = spark.createDataFrame([(-1, 0.50), (0, 0.505), (1, 0.52)], "trial int, pr_auc double")
     assert L.adoption(trials, promote=True).first()["adopted"] and L.adoption(trials).first()["adopted"] is False
     assert not L.adoption(trials, min_improvement=0.05, promote=True).first()["adopted"]
+
+
+def test_linear_explanations_stay_in_the_jvm(data):
+    why = L.explain(L.fit(SPECS["logistic_regression"], data, COLUMNS), data)
+    assert "Python" not in why._jdf.queryExecution().toString() and "MapIn" not in why._jdf.queryExecution().toString()
+
+
+def test_isolation_carries_columns_and_samples_alike(data):
+    forest = isolation.fit(data, COLUMNS, trees=30, per_tree=64)
+    out = isolation.score(data, COLUMNS, forest, keep=["y", "archetype"])
+    assert out.columns == ["y", "archetype", "isolation_raw"] and out.count() == 600
+    for per_tree in (8, 64, 2000):
+        drawn = isolation._samples(data.select("row_id"), 30, per_tree, 1).count()
+        assert abs(drawn - 30 * per_tree) < 0.2 * 30 * per_tree
