@@ -86,11 +86,18 @@ class HotKeys:
     """
 
     def __init__(
-        self, df: DataFrame, keys: Sequence[str], index: str = "row_id", hot_rows: int = HOT_ROWS, block_rows: int = BLOCK_ROWS
+        self,
+        df: DataFrame,
+        keys: Sequence[str],
+        index: str = "row_id",
+        hot_rows: int = HOT_ROWS,
+        block_rows: int = BLOCK_ROWS,
+        rows: int | None = None,
     ) -> None:
+        """`rows` is the frame's row count, if the caller has it already."""
         self.keys, self.index, self.block_rows = list(keys), index, block_rows
         self.found = False
-        if df.count() > hot_rows:
+        if (df.count() if rows is None else rows) > hot_rows:
             counts = df.groupBy(*self.keys).agg(F.count("*").alias("_n"))
             hot = pin(counts.where(F.col("_n") > hot_rows).select(*self.keys, F.lit(True).alias("_hot")), "hot")
             self.found = not hot.isEmpty()

@@ -146,7 +146,8 @@ def build_features(df: DataFrame, hot_rows: int = HOT_ROWS, block_rows: int = BL
     hold more than `hot_rows` rows are processed in blocks of consecutive rows.
     """
     base = df.select(*_INPUTS)
-    keys = {k: HotKeys(base, [k], "row_id", hot_rows, block_rows) for k in ("nameOrig", "nameDest", "category")}
+    count = base.count()
+    keys = {k: HotKeys(base, [k], "row_id", hot_rows, block_rows, count) for k in ("nameOrig", "nameDest", "category")}
     hot = {
         k: keys[k].only(base.select(*dict.fromkeys(["row_id", "step", "amount", k, *extra])))
         for k, extra in {"nameOrig": ["merchant", "nameDest"], "nameDest": [], "category": []}.items()

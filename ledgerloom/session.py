@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -37,7 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         if app not in _FALLBACK:
             _FALLBACK[app] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
@@ -46,6 +47,18 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/ledgerloom-{app}"
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete what this application stored in the shared folder; frames that read it are void afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def close(spark: SparkSession) -> None:
+    """Delete the application's stored tables, then stop the session."""
+    clear(spark)
+    spark.stop()
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 

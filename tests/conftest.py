@@ -11,9 +11,13 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from ledgerloom.session import local_session
+    from ledgerloom.session import close, local_session, shared_folder
 
-    return local_session(4, shuffle_partitions=4, memory="6g")
+    session = local_session(4, shuffle_partitions=4, memory="6g")
+    yield session
+    folder = Path(shared_folder(session).removeprefix("file://"))
+    close(session)
+    assert not folder.exists()
 
 
 @pytest.fixture(scope="session")
