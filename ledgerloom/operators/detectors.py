@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.blocks import lookback_buckets
+from ledgerloom.operators.blocks import BLOCK_ROWS, HOT_ROWS, HotKeys, lookback_buckets, prior_rows
 from ledgerloom.operators.rules import drain_pairs
 
 
@@ -94,21 +94,25 @@ def subscription_creep(df: DataFrame, merchants: int = 3, days: int = 8) -> Data
     )
 
 
-def refund_loop(df: DataFrame, days: int = 6, same_amount: bool = True) -> DataFrame:
+def refund_loop(df: DataFrame, days: int = 6, same_amount: bool = True, hot_rows: int = HOT_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Purchase, refund, purchase at one merchant within days."""
     rows = df.where((F.col("type") == "SHOP") | ((F.col("type") == "CASH_IN") & (F.col("category") == "refund"))).select(
         "row_id", "step", "type", "nameOrig", "merchant", F.bround("amount", 2).alias("amount")
     )
-    keys = ["nameOrig", "merchant", *(["amount"] if same_amount else [])]
-    order = Window.partitionBy(*keys, "_bkt").orderBy("step", "row_id")
+    keys = HotKeys(rows, ["nameOrig", "merchant", *(["amount"] if same_amount else [])], "row_id", hot_rows, block_rows)
+    order = Window.partitionBy(*keys.keys, "_blk").orderBy("step", "row_id")
+    carried = prior_rows(keys.only(rows), keys.keys, ["step", "row_id"], ["type"], 2, "_tail")
+    here = F.struct("step", "row_id", "type")
+    placed = keys.blocks(rows).withColumn("_l1", F.lag(here, 1).over(order)).withColumn("_l2", F.lag(here, 2).over(order))
+    joined = keys.carry(placed, carried, {"_tail": "array<struct<step: bigint, row_id: bigint, type: string>>"})
+    back = lambda k: F.try_element_at("_tail", F.lit(-k))  # noqa: E731 - the k-th last row before this block
+    first = F.when(F.col("_l2").isNotNull(), F.col("_l2")).when(F.col("_l1").isNotNull(), back(1)).otherwise(back(2))
     return (
-        lookback_buckets(rows, "step", days * 24)
-        .withColumn("_t1", F.lag("type", 1).over(order))
-        .withColumn("_t2", F.lag("type", 2).over(order))
-        .withColumn("first_step", F.lag("step", 2).over(order))
-        .where(~F.col("_halo") & (F.col("type") == "SHOP") & (F.col("_t1") == "CASH_IN") & (F.col("_t2") == "SHOP"))
-        .where(F.col("step") - F.col("first_step") <= days * 24)
-        .select("row_id", "nameOrig", "merchant", "amount", "first_step", "step")
+        joined.withColumn("_one", F.coalesce("_l1", back(1)))
+        .withColumn("_two", first)
+        .where((F.col("type") == "SHOP") & (F.col("_one.type") == "CASH_IN") & (F.col("_two.type") == "SHOP"))
+        .where(F.col("step") - F.col("_two.step") <= days * 24)
+        .select("row_id", "nameOrig", "merchant", "amount", F.col("_two.step").alias("first_step"), "step")
     )
 
 
@@ -141,15 +145,21 @@ def bust_out(df: DataFrame, age: float = 0.6, ratio: float = 0.1) -> DataFrame:
 
 
 def trips(df: DataFrame, rows: int = 4, days: int = 4) -> DataFrame:
-    """Rows that complete a stay: several in one foreign region within days."""
+    """Rows that complete a stay: several in one foreign region within days.
+
+    Rows are counted per hour first, so a look-back holds at most its hours,
+    however many rows an account has.
+    """
     away = df.where(F.col("transaction_region") != F.col("home_region")).select("row_id", "nameOrig", "transaction_region", "step")
-    near = Window.partitionBy("nameOrig", "transaction_region", "_bkt").orderBy("step").rangeBetween(-days * 24, 0)
-    return (
-        lookback_buckets(away, "step", days * 24)
-        .withColumn("rows_in_region", F.count("*").over(near))
+    place = ["nameOrig", "transaction_region"]
+    near = Window.partitionBy(*place, "_bkt").orderBy("step").rangeBetween(-days * 24, 0)
+    hourly = (
+        lookback_buckets(away.groupBy(*place, "step").agg(F.count("*").alias("n")), "step", days * 24)
+        .withColumn("rows_in_region", F.sum("n").over(near))
         .where(~F.col("_halo") & (F.col("rows_in_region") >= rows))
-        .select("row_id", "nameOrig", "transaction_region", "step", "rows_in_region")
+        .select(*place, "step", "rows_in_region")
     )
+    return away.join(hourly, [*place, "step"]).select("row_id", *place, "step", "rows_in_region")
 
 
 def errand_bursts(df: DataFrame, hours: int = 3) -> DataFrame:

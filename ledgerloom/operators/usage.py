@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import constants as K
 from ledgerloom.functions import columns as C
-from ledgerloom.operators.blocks import BLOCK_ROWS, HOT_ROWS, HotKeys, global_index, lookback_buckets, prior_totals
+from ledgerloom.operators.blocks import BLOCK_ROWS, HOT_ROWS, HotKeys, global_index, prior_totals
 
 
 def tokens(text: Column) -> Column:
@@ -99,16 +99,30 @@ def cost_projection(calls: DataFrame, users: float, machine_share: float, questi
     )
 
 
-def trailing_count(df: DataFrame, key: str, ts: str, seconds: int, name: str = "hits") -> DataFrame:
-    """Events of the same key in (t - seconds, t], for every event.
+def trailing_count(
+    df: DataFrame, key: str, ts: str, seconds: int, name: str = "hits", hot_rows: int = HOT_ROWS, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Events of the same key in (t - seconds, t], for every event with a time; 0 without one.
 
-    Buckets of `seconds` with a look-back halo keep even a dominant key in
-    pieces of one window length.
+    Events shrink to one row per key and instant. Each adds its count when it
+    comes and takes it back `seconds` later, so the answer is a running sum,
+    which `HotKeys` cuts into blocks for a dominant key.
     """
-    micros = seconds * 1_000_000
-    timed = lookback_buckets(df.withColumn("_us", C.epoch_micros(df, ts)), "_us", micros)
-    frame = Window.partitionBy(key, "_bkt").orderBy("_us").rangeBetween(-(micros - 1), 0)
-    return timed.withColumn(name, F.count("*").over(frame)).where(~F.col("_halo")).drop("_us", "_bkt", "_halo")
+    timed = df.withColumn("_us", C.epoch_micros(df, ts))
+    each = timed.groupBy(key, "_us").agg(F.count("*").alias("_n")).where(F.col("_us").isNotNull())
+    gone = each.select(key, (F.col("_us") + seconds * 1_000_000).alias("_us"), F.lit(0).alias("_come"), (-F.col("_n")).alias("_n"))
+    marks = each.select(key, "_us", F.lit(1).alias("_come"), "_n").unionByName(gone)
+    keys = HotKeys(marks, [key], "_at", hot_rows, block_rows)
+    if keys.found:
+        marks = global_index(marks, ["_us", "_come", key], "_at")
+    upto = Window.partitionBy(key, "_blk").orderBy("_us", "_come").rowsBetween(Window.unboundedPreceding, 0)
+    carried = prior_totals(keys.only(marks), [key], {"_before": ("sum", F.col("_n"))})
+    summed = keys.carry(keys.blocks(marks).withColumn("_in", F.sum("_n").over(upto)), carried, {"_before": "long"})
+    counts = summed.where("_come = 1").select(
+        F.col(key).alias("_key"), F.col("_us").alias("_when"), (F.col("_in") + F.coalesce("_before", F.lit(0))).alias(name)
+    )
+    out = timed.join(counts, timed[key].eqNullSafe(counts["_key"]) & (timed["_us"] == counts["_when"]), "left")
+    return out.withColumn(name, F.coalesce(name, F.lit(0))).drop("_us", "_key", "_when")
 
 
 def budget_guard(

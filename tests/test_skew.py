@@ -1,10 +1,11 @@
 """The hot-key paths give what the plain paths give."""
 
+import numpy as np
 import pytest
 from ledgers import ledger, random_rows
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import balances, blocks, quality, text, usage
+from ledgerloom.operators import balances, blocks, detectors, quality, text, usage
 from ledgerloom.operators.features import FEATURES, build_features
 
 
@@ -82,3 +83,21 @@ def test_trailing_count(spark):
     got = {r["event_id"]: r["hits"] for r in usage.trailing_count(df, "key", "ts", 60).collect()}
     want = {i: sum(1 for j, k2, u2 in rows if k2 == k and u - 60_000_000 < u2 <= u) for i, k, u in rows}
     assert got == want
+    crowd = [(i, "k" if i % 3 else None, i // 5 * 20_000_000) for i in range(80)]
+    df = spark.createDataFrame(crowd, "event_id long, key string, us long").withColumn("ts", F.timestamp_micros("us"))
+    want = {i: sum(1 for j, k2, u2 in crowd if k2 == k and u - 60_000_000 < u2 <= u) for i, k, u in crowd}
+    for block_rows in (1, 3, 7):
+        got = {r["event_id"]: r["hits"] for r in usage.trailing_count(df, "key", "ts", 60, hot_rows=5, block_rows=block_rows).collect()}
+        assert {i: n for i, n in got.items() if crowd[i][1]} == {i: n for i, n in want.items() if crowd[i][1]}
+
+
+@pytest.mark.parametrize("block_rows", [1, 2, 3, 7])
+def test_refund_loops_in_blocks(spark, block_rows):
+    rng = np.random.default_rng(block_rows)
+    rows = [
+        dict(step=int(rng.integers(60)), type=str(rng.choice(["SHOP", "CASH_IN"])), category="refund", amount=10.0, nameOrig="A", merchant=str(rng.choice(["M1", "M2"])))
+        for _ in range(80)
+    ]
+    df = ledger(spark, rows).cache()
+    same(detectors.refund_loop(df, 2), detectors.refund_loop(df, 2, hot_rows=5, block_rows=block_rows))
+
