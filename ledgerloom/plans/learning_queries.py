@@ -20,22 +20,22 @@ SPECS = L.registry(trees=20, rounds=10)
 _FITTED: dict = {}
 
 
-def _split(spark, sf, labelled=True):
+def split(spark, sf, labelled=True):
     """The bound on training rows is for models that use labels; the others see all earlier rows."""
     return L.training_split(stored_features(spark, sf), 0.25, 600_000 if labelled else None)
 
 
-def _model(spark, sf, name):
+def model(spark, sf, name):
     """Each model is trained once per application and table."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _FITTED:
         labelled = SPECS[name].kind not in ("isolation", "reconstruction")
-        _FITTED[key] = L.fit(SPECS[name], _split(spark, sf, labelled)[0])
+        _FITTED[key] = L.fit(SPECS[name], split(spark, sf, labelled)[0])
     return _FITTED[key]
 
 
 def _holdout_metrics(spark, sf, name):
-    scores = _model(spark, sf, name).scores(_split(spark, sf)[1], keep=["row_id", "y"])
+    scores = model(spark, sf, name).scores(split(spark, sf)[1], keep=["row_id", "y"])
     return E.metrics(scores).withColumn("model", F.lit(name))
 
 
@@ -63,48 +63,51 @@ for _name in SPECS:
     _register(_name)
 
 
-@query("blended_risk")
-def _(spark, sf):
-    """Rules, model and isolation score of every row; model scores are stored before the range is read."""
+def raw_scores(spark, sf):
+    """Rule, model and isolation score of every row, stored before anything reads their range; both models score in one pass."""
     features = stored_features(spark, sf)
-    strange = _model(spark, sf, "isolation_forest").scores(features, "isolation_raw", keep=["row_id", *FEATURES])
-    both = _model(spark, sf, "gradient_boosting").scores(strange, "model_raw", keep=["row_id", "isolation_raw"])
+    strange = model(spark, sf, "isolation_forest").scores(features, "isolation_raw", keep=["row_id", *FEATURES])
+    both = model(spark, sf, "gradient_boosting").scores(strange, "model_raw", keep=["row_id", "isolation_raw"])
     flags = rules.rule_risk_flags(ledger(spark, sf)).select("row_id", "date", "merchant", "amount", "category", "rule_score", "rule_reason")
-    scored = pin(flags.join(both, "row_id"), "scores")
-    return rules.blend(scored)
+    return pin(flags.join(both, "row_id"), "scores")
+
+
+@query("blended_risk")
+def _(spark, sf):
+    return rules.blend(raw_scores(spark, sf))
 
 
 @query("risk_explanations")
 def _(spark, sf):
     """The riskiest rows with their contributions; rows without one keep a null."""
-    model = _model(spark, sf, "gradient_boosting")
+    fitted = model(spark, sf, "gradient_boosting")
     features = stored_features(spark, sf)
-    top = pin(model.scores(features).orderBy(F.desc("score"), "row_id").limit(15), "top")
+    top = pin(fitted.scores(features).orderBy(F.desc("score"), "row_id").limit(15), "top")
     chosen = features.join(F.broadcast(top.select("row_id")), "row_id", "left_semi")
-    why = L.explain(model, chosen).select("row_id", "bias", "base_probability", "log_odds", "top_features")
+    why = L.explain(fitted, chosen).select("row_id", "bias", "base_probability", "log_odds", "top_features")
     return top.join(why, "row_id", "left")
 
 
 @query("linear_explanations")
 def _(spark, sf):
-    model = _model(spark, sf, "logistic_regression")
+    fitted = model(spark, sf, "logistic_regression")
     features = stored_features(spark, sf)
-    return L.explain(model, features).select("row_id", "bias", "log_odds", F.get("top_features", 0)["feature"].alias("strongest"))
+    return L.explain(fitted, features).select("row_id", "bias", "log_odds", F.get("top_features", 0)["feature"].alias("strongest"))
 
 
 @query("feature_importance")
 def _(spark, sf):
-    return L.feature_importance(_model(spark, sf, "gradient_boosting"))
+    return L.feature_importance(model(spark, sf, "gradient_boosting"))
 
 
 @query("permutation_importance")
 def _(spark, sf):
-    return L.permutation_importance(_model(spark, sf, "random_forest"), _split(spark, sf)[1])
+    return L.permutation_importance(model(spark, sf, "random_forest"), split(spark, sf)[1])
 
 
 @query("canary_run")
 def _(spark, sf):
-    return L.canary(_model(spark, sf, "random_forest"), _model(spark, sf, "gradient_boosting"), _split(spark, sf)[1])
+    return L.canary(model(spark, sf, "random_forest"), model(spark, sf, "gradient_boosting"), split(spark, sf)[1])
 
 
 @query("cross_validated_models")
