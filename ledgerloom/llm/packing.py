@@ -51,8 +51,8 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACI
         end = np.array([end_id], dtype=model.dtype).tobytes()
         width = model.dtype.itemsize * capacity
         out = []
-        for t in texts:
-            packed = model.encode(t) + end
+        for packed in model.encode_many(texts):
+            packed += end
             parts = [packed[a : a + width] for a in range(0, len(packed), width)]
             out.append([
                 {

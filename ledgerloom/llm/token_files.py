@@ -75,8 +75,8 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, id: str = "doc_id", tex
             ("runs", pa.list_(pa.struct([(n, pa.int64()) for n in ("doc", "docs", "token", "tokens")]))),
         ])
         for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                packed = model.encode(t.as_py()) + end
+            for d, packed in zip(batch.column(0).to_pylist(), model.encode_many(t.as_py() for t in batch.column(1))):
+                packed += end
                 held.append((d, packed))
                 tokens += len(packed) // model.dtype.itemsize
                 if tokens >= file_tokens:
