@@ -6,10 +6,13 @@ words if some stretch of it is within floor((1 - similarity) * n) word edits.
 1. Count filter, lossless: k edits break at most 2k of the item's n - 1 word
    pairs, so only stretches with enough pairs that occur in the benchmark go on.
 2. CGK walks embed every item-sized window that is left, starting at each word;
-   repeated bit sampling looks its keys up among the items' keys. With the default
-   walks and tables, at least 0.99 of stretches at the limit share a key
-   (measured in the tests).
-3. Each candidate is verified by exact edit distance, which also gives its place.
+   repeated bit sampling looks its keys up among the items' keys. Walks drift apart
+   with the number of edits, so items above ``PIECE`` words are embedded as pieces of
+   at most that many; if an item is within its edits, one of its pieces at least is
+   within its own share of them. With the default walks and tables, at least 0.99
+   of stretches at the limit share a key, at any length (measured in the tests).
+3. Each candidate is verified by exact edit distance, which also gives its place; a
+   piece first by itself, then with its whole item.
 
 The benchmark is sent to the workers in blocks of at most ``block_items`` items,
 one pass over the documents per block, so what is broadcast has a bound.
@@ -36,10 +39,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.common import narrow
-from ledgerloom.llm.edit_lsh import Walks, best_stretch
+from ledgerloom.llm.edit_lsh import Walks, best_stretch, fit
 
 WORD = re.compile(r"\w+")
-SIMILARITY, LEAST_WORDS = 0.8, 5
+SIMILARITY, LEAST_WORDS, PIECE = 0.8, 5, 59
 _HASHED = 1 << 20
 _BATCH_WORDS = 1 << 18
 
@@ -70,31 +73,37 @@ class Items:
             if len(found) >= least_words:
                 self.ids.append(item_id)
                 self.words.append([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found])
-        self.edits = [int((1 - similarity) * len(w) + 1e-9) for w in self.words]
+        allowed = lambda words: int((1 - similarity) * len(words) + 1e-9)
+        self.edits = [allowed(w) for w in self.words]
+        self.pieces = []  # (item, its words before the piece, words, edits)
+        for i, w in enumerate(self.words):
+            count = -(-len(w) // PIECE)
+            cuts = [len(w) * c // count for c in range(count + 1)]
+            self.pieces += [(i, a, w[a:b], allowed(w[a:b])) for a, b in zip(cuts, cuts[1:])]
         self.pairs = np.zeros(_HASHED, dtype=bool)
         for w in self.words:
             self.pairs[_pair_hash(np.array(w[:-1]), np.array(w[1:]))] = True
         by_size = defaultdict(list)
-        for i, w in enumerate(self.words):
+        for i, (_, _, w, _) in enumerate(self.pieces):
             by_size[(len(w) - 1).bit_length() * 2 + (len(w) - 1 >= 3 << max(0, (len(w) - 1).bit_length() - 2))].append(i)
         self.classes = []
         for members in by_size.values():
-            low = min(len(self.words[i]) for i in members)
-            steps = max(self.walks.coordinates, int(1.6 * low))
-            line = np.concatenate([[*self.words[i], *[0] * (steps + 1)] for i in members]).astype(np.int64)
-            starts = np.cumsum([0, *[len(self.words[i]) + steps + 1 for i in members]])[:-1]
+            words, edits = [self.pieces[i][2] for i in members], [self.pieces[i][3] for i in members]
+            steps = max(self.walks.coordinates, int(1.6 * min(map(len, words))))
+            line = np.concatenate([[*w, *[0] * (steps + 1)] for w in words]).astype(np.int64)
+            starts = np.cumsum([0, *[len(w) + steps + 1 for w in words]])[:-1]
             keys = self.walks.keys(line, starts, steps)
             tables = []
             for row in keys:
                 order = np.argsort(row, kind="stable")
                 tables.append((row[order], np.array(members)[order]))
-            reach = max(len(self.words[i]) + self.edits[i] for i in members)
-            need = min(len(self.words[i]) - 1 - 2 * self.edits[i] for i in members)
+            reach = max(len(w) + k for w, k in zip(words, edits))
+            need = min(len(w) - 1 - 2 * k for w, k in zip(words, edits))
             self.classes.append((steps, reach, need, tables))
         self.pad = max([steps + 1 for steps, _, _, _ in self.classes] + [r for _, r, _, _ in self.classes], default=0)
 
     def candidates(self, line: np.ndarray) -> dict[int, set[int]]:
-        """Places in ``line`` (padded at its end) and the items whose keys they share."""
+        """Places in ``line`` (padded at its end) and the pieces whose keys they share."""
         found: dict[int, set[int]] = defaultdict(set)
         hits = np.zeros(len(line) + 1, dtype=np.int32)
         both = (line[:-1] > 0) & (line[1:] > 0)
@@ -120,23 +129,27 @@ class Items:
         gap = [0] * self.pad
         line = np.array([n for words in texts for n in (*words, *gap)], dtype=np.int64)
         begins = np.cumsum([0, *[len(words) + self.pad for words in texts]])
-        regions: dict[tuple[int, int], list[list[int]]] = {}
+        regions: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         places = self.candidates(line)
         for place in sorted(places):
             text = int(np.searchsorted(begins, place, "right")) - 1
             at = place - int(begins[text])
-            for item in places[place]:
+            for piece in places[place]:
+                item, before, words, share = self.pieces[piece]
                 k, n = self.edits[item], len(self.words[item])
-                low, high = max(0, at - k), min(len(texts[text]), at + n + 2 * k)
-                kept = regions.setdefault((text, item), [])
-                if kept and low <= kept[-1][1]:
-                    kept[-1][1] = max(kept[-1][1], high)
-                else:
-                    kept.append([low, high])
+                if len(words) < n and fit(words, texts[text][max(0, at - share) : at + len(words) + 2 * share])[0] > share:
+                    continue
+                low = max(0, at - share - (before + k if before else 0))
+                regions[text, item].append((low, min(len(texts[text]), at + n - before + k + share)))
         out = []
         for (text, item), kept in regions.items():
-            best = None
-            for low, high in kept:
+            best, apart = None, []
+            for low, high in sorted(kept):
+                if apart and low <= apart[-1][1]:
+                    apart[-1][1] = max(apart[-1][1], high)
+                else:
+                    apart.append([low, high])
+            for low, high in apart:
                 edits, a, b = best_stretch(self.words[item], texts[text][low:high])
                 if edits <= self.edits[item] and (best is None or edits < best[0]):
                     best = (edits, low + a, low + b)
