@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -136,18 +138,26 @@ def training_split(features: DataFrame, test_size: float = 0.25, max_train_rows:
     return train, test
 
 
-def cross_validate(train: DataFrame, specs: dict[str, Spec], columns: Sequence[str] = FEATURES, folds: int = 5) -> DataFrame:
-    """Metrics per (model, fold) over expanding time-series folds; `train` is numbered by `row_id`."""
+def cross_validate(train: DataFrame, specs: dict[str, Spec], columns: Sequence[str] = FEATURES, folds: int = 5, parallel: int = 4) -> DataFrame:
+    """Metrics per (model, fold) over expanding time-series folds; `train` is numbered by `row_id`.
+
+    ``parallel`` fits run at a time; their scores are stored at once, so no plan holds many models.
+    """
     n = train.agg(F.count("*")).scalar()
     folded = pin(E.time_series_folds(train, n, folds), "folds")
-    scored = None
+
+    def one(block: DataFrame, earlier: DataFrame, name: str, spec: Spec) -> DataFrame:
+        rows = fit(spec, earlier, columns).scores(block, keep=["row_id", "y", "fold"])
+        return pin(rows.withColumn("model", F.lit(name)), "fold-scores")
+
+    fits = []
     for fold in range(folds):
         block = folded.where(F.col("fold") == fold)
         first = block.agg(F.min("row_id")).first()[0]
         earlier = folded.where(F.col("row_id") < first)
-        for name, spec in specs.items():
-            rows = fit(spec, earlier, columns).scores(block, keep=["row_id", "y", "fold"]).withColumn("model", F.lit(name))
-            scored = rows if scored is None else scored.unionByName(rows)
+        fits += [(block, earlier, name, spec) for name, spec in specs.items()]
+    with ThreadPoolExecutor(parallel) as pool:
+        scored = reduce(DataFrame.unionByName, pool.map(lambda f: one(*f), fits))
     return E.metrics(scored, by=["model", "fold"])
 
 
