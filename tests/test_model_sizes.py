@@ -34,3 +34,10 @@ def test_models_are_whole():
 def test_all_models_are_cross_validated(spark, sf, monkeypatch):
     seen = asked(spark, sf, monkeypatch, "cross_validated_models", "cross_validate")
     assert seen["folds"] == 5 and seen["args"] == (L.registry(),)
+
+
+def test_search_is_whole(spark, sf, monkeypatch):
+    seen = asked(spark, sf, monkeypatch, "parameter_search", "search")
+    base, trials = seen["args"]
+    assert seen["folds"] == 5 and base == L.registry()["gradient_boosting"] and len(trials) == 30
+    assert not any("maxIter" in t for t in trials)
