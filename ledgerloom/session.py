@@ -72,4 +72,13 @@ def pin(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     schema = df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    out._pinned = path
+    return out
+
+
+def unpin(*frames: DataFrame) -> None:
+    """Delete what ``pin`` stored for these frames; only for those that nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._pinned)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
