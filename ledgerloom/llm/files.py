@@ -39,3 +39,8 @@ class Output:
 def open_input(uri: str):
     store, path = _at(uri)
     return store.open_input_file(path)
+
+
+def remove(uri: str) -> None:
+    store, path = _at(uri)
+    store.delete_file(path)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import (
     chat_format,
     decontaminate,
+    gap_heaps,
     lm_scores,
     packing,
     quality_rules,
@@ -17,6 +18,8 @@ from ledgerloom.llm import (
     simhash_bk,
     surrogates,
     token_files,
+    top_products,
+    turn_repair,
     warc_archive,
 )
 from ledgerloom.session import pin
@@ -237,3 +240,82 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its entities replaced, and how many there were."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return surrogates.replace(docs, SURROGATE_KEY, counted="n_entities")
+
+
+# --- 11: exact top-k inner products -----------------------------------------------------------------------------------
+
+
+@query
+def op11_norm_sorted_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+ORACLE["op11_norm_sorted_products"] = """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, q.r AS r, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score
+      FROM v AS q, v WHERE q.vec_id % 20 = 0 AND v.r <> q.r),
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM p)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM k WHERE rank <= 20
+"""
+
+
+# --- 12: conversation structure repair --------------------------------------------------------------------------------
+
+
+@query
+def op12_streamed_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damages the conversations by a fixed rule, repairs them, and reports on every original one."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    repaired = turn_repair.digests(turn_repair.repair(turn_repair.damaged(given)))
+    ids = given.select("conv_id").distinct()
+    none = {"audit": "", "repaired_sha256": turn_repair.EMPTY_SHA256}
+    names = [c for c in repaired.columns if c != "conv"]
+    return ids.join(repaired, ids["conv_id"].eqNullSafe(repaired["conv"]), "left").select(
+        "conv_id", *[F.coalesce(c, F.lit(none.get(c, 0)).cast(repaired.schema[c].dataType)).alias(c) for c in names]
+    )
+
+
+# --- 13: centroid clustering ------------------------------------------------------------------------------------------
+
+
+@query
+def op13_gap_heap_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.sha2(F.concat(F.lit("2:"), F.col("vec_id").cast("string")), 256)
+    rows, centroids = gap_heaps.cluster(table(spark, sf_dir, "embeddings"), start)
+    return gap_heaps.with_inertia(rows, centroids)
+
+
+def _means_oracle(k: int = 40, rounds: int = 5, length: int = 64) -> str:
+    """Plain k-means, one pair of steps per round: all distances, then componentwise floors of the means."""
+    steps = [
+        f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE len(embedding) = {length} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT c, e FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)), e) - 1 AS c, e FROM v) WHERE c < {k})""",
+    ]
+    for t in range(rounds + 1):
+        steps.append(
+            f"""a{t} AS MATERIALIZED (
+  SELECT r, min(d) AS d, arg_min(c, d * 64 + c) AS c FROM (
+    SELECT r, c, list_inner_product(v.e, v.e) - 2 * list_inner_product(v.e, c{t}.e) + list_inner_product(c{t}.e, c{t}.e) AS d FROM v, c{t}) GROUP BY r)"""
+        )
+        if t < rounds:
+            steps.append(
+                f"""c{t + 1} AS MATERIALIZED (
+  SELECT c{t}.c, coalesce(m.e, c{t}.e) AS e FROM c{t} LEFT JOIN (
+    SELECT c, list(floor(s / n) ORDER BY i) AS e FROM (
+      SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT a{t}.c, unnest(range({length})) AS i, unnest(v.e) AS x FROM v JOIN a{t} USING (r)) GROUP BY c, i)
+    GROUP BY c) AS m ON m.c = c{t}.c)"""
+            )
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT v.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance,
+       CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(z.e, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM v JOIN a{rounds} AS a USING (r) JOIN c{rounds} AS z ON z.c = a.c
+"""
+
+
+ORACLE["op13_gap_heap_means"] = _means_oracle()
