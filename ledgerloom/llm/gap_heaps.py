@@ -219,7 +219,7 @@ def cluster(
         before, state = state, _round(state, centroids, drift)
         unpin(before)
         if counted is not None:
-            counted.append(state.agg(F.sum("scans")).scalar())
+            counted.append(state.agg(F.sum("scans")).first()[0])
         if turn == rounds:
             break
         sums = sums + np.array(_changes(state, "sums", centroids.size), dtype=object).reshape(centroids.shape)

@@ -294,7 +294,7 @@ def search(
         offers = F.arrays_zip(*[F.lit(list(c)).alias(n) for n, c in zip(("ring", "first", "n", "top"), zip(*wave))])
         met_rings = F.filter(offers, lambda o: F.col("needs").isNull() | (o["top"] * (1 + 1e-9) >= F.col("needs")))
         visits = held.withColumn("o", F.explode(met_rings)).withColumn("ring", F.col("o.ring").cast("int")).withColumn(
-            "tile", F.explode(F.sequence(F.col("o.first"), F.col("o.first") + F.col("o.n") - 1)).cast("int")
+            "tile", F.explode(F.sequence(F.col("o.first").cast("int"), (F.col("o.first") + F.col("o.n") - 1).cast("int")))
         ).drop("o", "needs")
         there = tiles.select("ring", "tile", F.col("rows").alias("xrows"), F.col("ids").alias("xids"), F.col("whole").alias("xwhole"), F.col("turned").alias("xturned"))
         more = visits.join(there, ["ring", "tile"]).mapInArrow(go_on, _FOUND)
