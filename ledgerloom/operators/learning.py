@@ -1,27 +1,30 @@
-"""Fraud models on MLlib: training window, registry, scores, cross-validation, search, explanations."""
+"""Fraud models: training window, registry, scores, cross-validation, search, explanations.
+
+Logistic regression and the random forest are MLlib's; the booster, the linear
+classifier, the network and the isolation forest are trained by the sibling modules.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import columns as C
 from ledgerloom.operators import evaluation as E
-from ledgerloom.operators import isolation
+from ledgerloom.operators import boosting, gradient, isolation
 from ledgerloom.operators.blocks import global_index
 from ledgerloom.operators.features import FEATURES
-from ledgerloom.session import new_path, pin
+from ledgerloom.session import pin
 
 
 # ------------------------------------------------------------------ scaling
@@ -63,19 +66,14 @@ def registry(seed: int = 42, trees: int = 250, rounds: int = 300) -> dict[str, S
     return {
         "logistic_regression": Spec("logistic", {"maxIter": 2000}, scaled=True, explainable=True),
         "random_forest": Spec("forest", {"numTrees": trees, "maxDepth": 8, "seed": seed}),
-        "gradient_boosting": Spec("boosting", {"maxIter": rounds, "stepSize": 0.05, "maxDepth": 5, "seed": seed}, explainable=True),
-        "linear_svm": Spec("svm", {"maxIter": 2000}, scaled=True),
+        "gradient_boosting": Spec("boosting", {"maxIter": rounds, "stepSize": 0.05, "maxLeaves": 31, "seed": seed}, explainable=True),
+        "linear_svm": Spec("svm", {"maxIter": 2000, "seed": seed}, scaled=True),
         "isolation_forest": Spec("isolation", {"trees": trees, "seed": seed}),
-        "reconstruction_error": Spec("reconstruction", {"k": 16}, scaled=True),
+        "reconstruction_error": Spec("reconstruction", {"k": 16, "seed": seed}, scaled=True),
     }
 
 
-_CLASSIFIERS = {
-    "logistic": LogisticRegression,
-    "forest": RandomForestClassifier,
-    "boosting": GBTClassifier,
-    "svm": LinearSVC,
-}
+_CLASSIFIERS = {"logistic": LogisticRegression, "forest": RandomForestClassifier}
 
 
 @dataclass
@@ -89,27 +87,21 @@ class Fitted:
 
     def prepared(self, df: DataFrame) -> DataFrame:
         scaled = self.scaler.transform(df) if self.scaler else df
-        return scaled if self.spec.kind == "isolation" else VectorAssembler(inputCols=self.columns, outputCol="features").transform(scaled)
+        return scaled if self.spec.kind not in _CLASSIFIERS else VectorAssembler(inputCols=self.columns, outputCol="features").transform(scaled)
 
     def scores(self, df: DataFrame, name: str = "score", keep: Sequence[str] = ("row_id",)) -> DataFrame:
-        """Probability, isolation score, mean squared reconstruction error, or margin."""
+        """Probability, isolation score or mean squared reconstruction error."""
         rows = self.prepared(df)
         kind = self.spec.kind
         if kind == "isolation":
             return isolation.score(rows, self.columns, self.model, name=name, keep=keep)
+        if kind == "boosting":
+            return boosting.score(rows, self.model, name, keep)
+        if kind == "svm":
+            return rows.select(*keep, self.model.probability().alias(name))
         if kind == "reconstruction":
-            basis = self.model.pc.toArray()
-
-            @F.pandas_udf("double")
-            def error(vectors: pd.Series) -> pd.Series:
-                x = np.asarray(vectors.tolist(), dtype=np.float64)
-                gap = x - (x @ basis) @ basis.T
-                return pd.Series((gap**2).mean(1))
-
-            return rows.select(*keep, error(vector_to_array("features")).alias(name))
-        out = self.model.transform(rows)
-        source = "rawPrediction" if kind == "svm" else "probability"
-        return out.select(*keep, F.get(vector_to_array(source), F.lit(1)).alias(name))
+            return rows.select(*keep, self.model.column(F.array(*self.columns)).alias(name))
+        return self.model.transform(rows).select(*keep, F.get(vector_to_array("probability"), F.lit(1)).alias(name))
 
 
 def fit(spec: Spec, train: DataFrame, columns: Sequence[str] = FEATURES) -> Fitted:
@@ -119,8 +111,12 @@ def fit(spec: Spec, train: DataFrame, columns: Sequence[str] = FEATURES) -> Fitt
     out = Fitted(spec, columns, None, scaler)
     if spec.kind == "isolation":
         out.model = isolation.fit(train, columns, **spec.params)
+    elif spec.kind == "boosting":
+        out.model = boosting.fit(train, columns, boosting.Params(**spec.params))
+    elif spec.kind == "svm":
+        out.model = gradient.fit_linear(out.prepared(train), columns, gradient.HuberParams(**spec.params))
     elif spec.kind == "reconstruction":
-        out.model = PCA(inputCol="features", outputCol="reduced", **spec.params).fit(out.prepared(train))
+        out.model = gradient.fit_network(out.prepared(train), columns, gradient.NetworkParams(**spec.params))
     else:
         estimator = _CLASSIFIERS[spec.kind](featuresCol="features", labelCol="y", weightCol="weight", **spec.params)
         out.model = estimator.fit(out.prepared(with_class_weight(train)))
@@ -139,26 +135,28 @@ def training_split(features: DataFrame, test_size: float = 0.25, max_train_rows:
 
 
 def cross_validate(train: DataFrame, specs: dict[str, Spec], columns: Sequence[str] = FEATURES, folds: int = 5, parallel: int = 4) -> DataFrame:
-    """Metrics per (model, fold) over expanding time-series folds; `train` is numbered by `row_id`.
+    """Metrics per (model, fold) over expanding time-series folds; `train` is a training window in order of `row_id`.
 
-    ``parallel`` fits run at a time; their scores are stored at once, so no plan holds many models.
+    All boosters of all folds are one Spark stage over shared codes. Of the
+    others ``parallel`` fits run at a time; their scores are stored at once.
     """
+    names = [c for c in train.columns if c != "row_id"]
+    train = pin(global_index(train, ["row_id"], "_at").select(F.col("_at").alias("row_id"), *names), "window")
     n = train.agg(F.count("*")).scalar()
     folded = pin(E.time_series_folds(train, n, folds), "folds")
+    spans = folded.where("fold >= 0").groupBy("fold").agg(F.min("row_id").alias("first"), F.max("row_id").alias("last"))
+    first = {r["fold"]: r["first"] for r in spans.collect()}
+    boosters = {name: boosting.Params(**spec.params) for name, spec in specs.items() if spec.kind == "boosting"}
+    scored = [boosting.fold_scores(train, columns, boosters, spans)] if boosters else []
 
-    def one(block: DataFrame, earlier: DataFrame, name: str, spec: Spec) -> DataFrame:
-        rows = fit(spec, earlier, columns).scores(block, keep=["row_id", "y", "fold"])
+    def one(fold: int, name: str, spec: Spec) -> DataFrame:
+        rows = fit(spec, folded.where(F.col("row_id") < first[fold]), columns).scores(folded.where(F.col("fold") == fold), keep=["row_id", "y", "fold"])
         return pin(rows.withColumn("model", F.lit(name)), "fold-scores")
 
-    fits = []
-    for fold in range(folds):
-        block = folded.where(F.col("fold") == fold)
-        first = block.agg(F.min("row_id")).first()[0]
-        earlier = folded.where(F.col("row_id") < first)
-        fits += [(block, earlier, name, spec) for name, spec in specs.items()]
+    fits = [(fold, name, spec) for fold in first for name, spec in specs.items() if name not in boosters]
     with ThreadPoolExecutor(parallel) as pool:
-        scored = reduce(DataFrame.unionByName, pool.map(lambda f: one(*f), fits))
-    return E.metrics(scored, by=["model", "fold"])
+        scored += pool.map(lambda f: one(*f), fits)
+    return E.metrics(reduce(DataFrame.unionByName, scored), by=["model", "fold"])
 
 
 def search(train: DataFrame, base: Spec, trials: Sequence[dict[str, Any]], columns: Sequence[str] = FEATURES, folds: int = 3) -> DataFrame:
@@ -181,14 +179,17 @@ def adoption(trials: DataFrame, min_improvement: float = 0.01, promote: bool = F
 
 
 def random_trials(n: int, seed: int = 42) -> list[dict[str, Any]]:
-    """Seeded draws from the boosting search space."""
+    """Seeded draws from the booster's search space: leaves, step, rows per leaf, both penalties, column share."""
     rng = np.random.default_rng(seed)
+    log = lambda low, high: float(np.exp(rng.uniform(np.log(low), np.log(high))))
     return [
         {
-            "maxDepth": int(rng.integers(3, 7)),
-            "stepSize": float(np.exp(rng.uniform(np.log(0.01), np.log(0.3)))),
+            "maxLeaves": int(log(16, 257)),
+            "stepSize": log(0.01, 0.3),
             "minInstancesPerNode": int(rng.integers(5, 101)),
-            "subsamplingRate": float(rng.uniform(0.5, 1.0)),
+            "l1": log(1e-8, 10.0),
+            "l2": log(1e-8, 10.0),
+            "columnShare": float(rng.uniform(0.5, 1.0)),
         }
         for _ in range(n)
     ]
@@ -200,7 +201,12 @@ def feature_importance(fitted: Fitted, top: int = 15) -> DataFrame:
     from pyspark.sql import SparkSession
 
     model = fitted.model
-    values = model.featureImportances.toArray() if hasattr(model, "featureImportances") else np.abs(model.coefficients.toArray())
+    if fitted.spec.kind == "boosting":
+        values = model.importances()
+    elif fitted.spec.kind == "svm":
+        values = np.abs(model.weights)
+    else:
+        values = model.featureImportances.toArray() if hasattr(model, "featureImportances") else np.abs(model.coefficients.toArray())
     rows = [(c, float(v)) for c, v in zip(fitted.columns, values)]
     frame = SparkSession.active().createDataFrame(rows, "feature string, importance double")
     return frame.orderBy(F.desc("importance"), "feature").limit(top)
@@ -232,36 +238,11 @@ def permutation_importance(fitted: Fitted, holdout: DataFrame, repeats: int = 5,
 
 
 # ------------------------------------------------------------------ explanations
-def _tree_nodes(fitted: Fitted, df: DataFrame) -> list[dict[str, np.ndarray]]:
-    """Split and value of every node of a boosted model, read from its saved form."""
-    path = new_path(df.sparkSession, "trees")
-    fitted.model.write().save(path)
-    nodes = df.sparkSession.read.parquet(f"{path}/data")
-    flat = nodes.select(
-        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
-        "nodeData.split.featureIndex", F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
-    ).toPandas().sort_values(["treeID", "id"])
-    trees = []
-    for tree, t in flat.groupby("treeID"):
-        weight = fitted.model.treeWeights[int(tree)]
-        trees.append(
-            {
-                "feature": t["featureIndex"].to_numpy(),
-                "threshold": t["threshold"].fillna(0.0).to_numpy(),
-                "left": t["leftChild"].to_numpy(),
-                "right": t["rightChild"].to_numpy(),
-                # a boosted margin m gives odds exp(2m)
-                "value": t["prediction"].to_numpy() * weight * 2.0,
-            }
-        )
-    return trees
-
-
 def explain(fitted: Fitted, df: DataFrame, top: int = 8) -> DataFrame:
     """Contributions per row: they and the bias add up to the model's log-odds.
 
     Linear models: coefficient times distance from the training mean, exact.
-    Boosted trees: change of the expected margin along each decision path. Rows
+    Boosted trees: exact Shapley values with training rows as cover weights. Rows
     are scored first and explained after, so `df` is usually a short list.
     """
     kind = fitted.spec.kind
@@ -293,34 +274,12 @@ def _linear_parts(fitted: Fitted, df: DataFrame) -> DataFrame:
 
 def _tree_parts(fitted: Fitted, df: DataFrame) -> DataFrame:
     """Contributions of boosted trees as number arrays; the features are named afterwards."""
-    columns, trees = fitted.columns, _tree_nodes(fitted, df)
-    base = sum(t["value"][0] for t in trees)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = np.asarray(pdf["x"].tolist(), dtype=np.float64).reshape(len(pdf), len(columns))
-            out, every = np.zeros_like(x), np.arange(len(x))
-            for t in trees:
-                at = np.zeros(len(x), dtype=np.int64)
-                inner = t["left"][at] >= 0
-                while inner.any():
-                    f = np.maximum(t["feature"][at], 0)
-                    step = np.where(x[every, f] <= t["threshold"][at], t["left"][at], t["right"][at])
-                    nxt = np.where(inner, step, at)
-                    np.add.at(out, (every[inner], f[inner]), (t["value"][nxt] - t["value"][at])[inner])
-                    at = nxt
-                    inner = t["left"][at] >= 0
-            order = np.argsort(-np.abs(out), axis=1, kind="stable")
-            sizes = np.take_along_axis(out, order, axis=1)
-            yield pd.DataFrame({"row_id": pdf["row_id"], "log_odds": out.sum(1) + base, "places": list(order), "sizes": list(sizes)})
-
-    rows = fitted.prepared(df).select("row_id", vector_to_array("features").alias("x"))
-    found = rows.mapInPandas(run, "row_id long, log_odds double, places array<long>, sizes array<double>")
-    names = F.array(*[F.lit(c) for c in columns])
+    found, bias = boosting.contributions(df, fitted.model)
+    names = F.array(*[F.lit(c) for c in fitted.columns])
     named = F.zip_with(
         "places", "sizes", lambda i, v: F.struct(F.element_at(names, (i + 1).cast("int")).alias("feature"), v.alias("contribution"))
     )
-    return found.select("row_id", F.lit(float(base)).alias("bias"), "log_odds", named.alias("all_features"))
+    return found.select("row_id", F.lit(bias).alias("bias"), "log_odds", named.alias("all_features"))
 
 
 def canary(old: Fitted, new: Fitted, holdout: DataFrame, tolerance: float = 0.05) -> DataFrame:

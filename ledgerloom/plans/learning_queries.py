@@ -117,12 +117,12 @@ def _(spark, sf):
 
 @query("cross_validated_models")
 def _(spark, sf):
-    train = L.training_split(stored_features(spark, sf), 0.25, None)[0]
+    train = split(spark, sf)[0]
     return E.fold_summary(L.cross_validate(train, SPECS, folds=FOLDS), ["model"])
 
 
 @query("parameter_search")
 def _(spark, sf):
-    train = L.training_split(stored_features(spark, sf), 0.25, None)[0]
+    train = split(spark, sf)[0]
     trials = pin(L.search(train, SPECS["gradient_boosting"], L.random_trials(TRIALS), folds=FOLDS), "trials")
     return trials.withColumns({c: L.adoption(trials, promote=True).select(c).scalar() for c in ("best_trial", "adopted")})
