@@ -16,7 +16,6 @@ milliseconds, one barrier a second.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -30,7 +29,8 @@ from ledgerloom.session import pin, unpin
 
 #: Rows of a training window.
 MOST_ROWS = 600_000
-_SMALL = 1 << 13  # rows up to which a leaf is summed in one pass over all features
+_SMALL = 1 << 12  # rows up to which a leaf is summed in one pass over all features
+_BITS = 10  # features of two bins that share a column
 _SHAP_CELLS = 1 << 18  # rows x leaves of a block of explanations
 
 
@@ -139,7 +139,7 @@ class Grower:
     """Grows trees over the coded rows of a training window."""
 
     def __init__(self, codes: np.ndarray, y: np.ndarray, bounds: list[np.ndarray], p: Params):
-        self.codes, self.bounds, self.p = codes, bounds, p
+        self.codes, self.bounds, self.p = np.asfortranarray(codes), bounds, p
         self.y, self.weight = y.astype(np.float64), balanced(y, len(y), y.sum())
         sizes = np.array([len(b) + 1 for b in bounds])
         self.ends = np.cumsum(sizes)
@@ -148,67 +148,84 @@ class Grower:
         self.feature_of = np.repeat(np.arange(len(sizes)), sizes)
         self.splits = np.ones(self.total, dtype=bool)
         self.splits[self.ends - 1] = False  # nothing is right of a last bin
-        self.wide, self.pairs = np.flatnonzero(sizes != 2), np.flatnonzero(sizes == 2)
-        self.columns = {f: np.ascontiguousarray(codes[:, f] - self.begins[f].astype(np.uint16)) for f in self.wide}
-        self.flat = np.ascontiguousarray(codes[:, self.wide])
-        self.second = (codes[:, self.pairs] - self.begins[self.pairs].astype(np.uint16)).astype(np.float64)
-        self.counts = None
+        # columns to sum over: each feature of more bins, and the two-bin features in groups, as bit patterns
+        wide, pairs = np.flatnonzero(sizes != 2), np.flatnonzero(sizes == 2)
+        columns = [codes[:, f] - self.begins[f].astype(np.uint16) for f in wide]
+        widths, self.groups = [int(sizes[f]) for f in wide], []
+        for at in range(0, len(pairs), _BITS):
+            own = pairs[at : at + _BITS]
+            bits = (codes[:, own] - self.begins[own].astype(np.uint16)).astype(np.uint16)
+            columns.append((bits << np.arange(len(own), dtype=np.uint16)).sum(1, dtype=np.uint16))
+            self.groups.append((own, (np.arange(1 << len(own))[:, None] >> np.arange(len(own)) & 1).astype(np.float64)))
+            widths.append(1 << len(own))
+        self.columns = [np.ascontiguousarray(c) for c in columns]
+        self.starts = np.concatenate([[0], np.cumsum(widths)])
+        self.flat = np.column_stack(self.columns).astype(np.int64) + self.starts[:-1]
+        self.of_wide = np.concatenate([np.arange(self.begins[f], self.ends[f]) for f in wide]) if len(wide) else np.empty(0, dtype=np.int64)
+        self.members = [*[[f] for f in wide], *[own for own, _ in self.groups]]
+        self.active, self.narrow, self.first = list(range(len(self.columns))), self.flat, 0
         self.margin = np.zeros(len(y))
 
     def sums(self, rows: np.ndarray | None, g: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Gradients, Hessians and rows per code of a leaf (of all rows, if none are named)."""
-        out = np.empty((3, self.total))
         if rows is not None:
             g, h = g.take(rows), h.take(rows)
-        n = len(g)
-        if n <= _SMALL and len(self.wide):
-            flat, width = (self.flat if rows is None else self.flat[rows]).ravel(), len(self.wide)
-            out[0] = np.bincount(flat, np.repeat(g, width), self.total)
-            out[1] = np.bincount(flat, np.repeat(h, width), self.total)
-            out[2] = np.bincount(flat, minlength=self.total)
+        found, total = np.zeros((3, self.starts[-1])), self.starts[-1]
+        if len(g) <= _SMALL:
+            flat, width = (self.narrow if rows is None else self.narrow[rows]).ravel(), len(self.active)
+            found[0], found[1] = np.bincount(flat, np.repeat(g, width), total), np.bincount(flat, np.repeat(h, width), total)
+            found[2] = np.bincount(flat, minlength=total)
         else:
-            for f, column in self.columns.items():
-                column, size = column if rows is None else column.take(rows), self.ends[f] - self.begins[f]
-                own = slice(self.begins[f], self.ends[f])
-                out[0, own], out[1, own], out[2, own] = np.bincount(column, g, size), np.bincount(column, h, size), np.bincount(column, minlength=size)
-        each = np.stack([g, h, np.ones(n)])
-        right = each @ (self.second if rows is None else self.second[rows])
-        out[:, self.begins[self.pairs] + 1] = right
-        out[:, self.begins[self.pairs]] = each.sum(1)[:, None] - right
+            for c in self.active:
+                column, a, b = self.columns[c] if rows is None else self.columns[c].take(rows), self.starts[c], self.starts[c + 1]
+                found[0, a:b], found[1, a:b] = np.bincount(column, g, b - a), np.bincount(column, h, b - a)
+                found[2, a:b] = np.bincount(column, minlength=b - a)
+        if not self.groups:
+            return found
+        out = np.empty((3, self.total))
+        out[:, self.of_wide] = found[:, : len(self.of_wide)]
+        for (own, patterns), a in zip(self.groups, self.starts[len(self.columns) - len(self.groups) :]):
+            part = found[:, a : a + len(patterns)]
+            right = part @ patterns
+            out[:, self.begins[own] + 1], out[:, self.begins[own]] = right, part.sum(1)[:, None] - right
         return out
 
-    def best(self, sums: np.ndarray, allowed: np.ndarray) -> tuple[float, int]:
-        """Gain and place (the last code that goes left) of the best split of a leaf."""
+    def best(self, sums: np.ndarray, places: np.ndarray) -> list[tuple[float, int]]:
+        """Of each leaf (leaf, sum, code): gain and place (the last code that goes left) of its best split among ``places``."""
         p = self.p
-        left = np.cumsum(sums, axis=1)
-        before = left[:, self.begins] - sums[:, self.begins]
-        left -= before[:, self.feature_of]
-        whole = sums[:, : self.ends[0]].sum(1)
-        right = whole[:, None] - left
-        ok = self.splits & allowed & (np.minimum(left[2], right[2]) >= p.minInstancesPerNode) & (np.minimum(left[1], right[1]) >= p.minHessian)
-        if not ok.any():
-            return 0.0, -1
+        left = np.cumsum(sums, axis=2)
+        before = left[:, :, self.begins] - sums[:, :, self.begins]
+        whole = (left[:, :, self.ends[self.first] - 1] - before[:, :, self.first])[:, :, None]
+        left = left[:, :, places] - before[:, :, self.feature_of[places]]
+        right = whole - left
+        ok = (np.minimum(left[:, 2], right[:, 2]) >= p.minInstancesPerNode) & (np.minimum(left[:, 1], right[:, 1]) >= p.minHessian)
         gain = np.where(ok, self._strength(left) + self._strength(right) - self._strength(whole), 0.0)
-        top = gain.max()
-        at = int((gain >= top * (1 - 1e-9)).argmax())  # the first of equals, whatever rounding did to them
-        return (float(gain[at]), at) if top > 1e-10 else (0.0, -1)
+        out = []
+        for row, top in zip(gain, gain.max(1).tolist()):
+            at = int((row >= top * (1 - 1e-9)).argmax())  # the first of equals, whatever rounding did to them
+            out.append((float(row[at]), int(places[at])) if top > 1e-10 else (0.0, -1))
+        return out
 
     def _strength(self, s: np.ndarray) -> np.ndarray:
-        return np.maximum(np.abs(s[0]) - self.p.l1, 0.0) ** 2 / (s[1] + self.p.l2 + 1e-15)
+        """Of sums (leaf, sum, code)."""
+        return np.maximum(np.abs(s[:, 0]) - self.p.l1, 0.0) ** 2 / (s[:, 1] + self.p.l2 + 1e-15)
 
     def grow(self, number: int) -> Tree:
         """One tree, best leaf first, on the gradients of now; adds its values to the margins."""
         p = self.p
         chance = 1.0 / (1.0 + np.exp(-self.margin))
         g, h = self.weight * (chance - self.y), self.weight * chance * (1.0 - chance)
-        allowed = np.ones(self.total, dtype=bool)
+        allowed = self.splits
         if p.columnShare < 1:
             many = max(1, int(round(p.columnShare * len(self.bounds))))
             chosen = np.random.default_rng([p.seed, number]).permutation(len(self.bounds))[:many]
-            allowed = np.isin(self.feature_of, chosen)
+            allowed = allowed & np.isin(self.feature_of, chosen)
+            self.active, self.first = [c for c, own in enumerate(self.members) if np.isin(own, chosen).any()], int(chosen.min())
+            self.narrow = self.flat[:, self.active]  # other features are not summed
+        places = np.flatnonzero(allowed)
         feature, threshold, left, right, gains = [-1], [0.0], [-1], [-1], [0.0]
         rows, sums = [np.arange(len(self.y))], [self.sums(None, g, h)]
-        splits = [self.best(sums[0], allowed)]
+        splits = self.best(sums[0][None], places) if len(places) else [(0.0, -1)]
         leaves = {0}
         while len(leaves) < p.maxLeaves:
             top = max(leaves, key=lambda n: (splits[n][0], -n))
@@ -223,15 +240,17 @@ class Grower:
             small = 0 if len(sides[0]) <= len(sides[1]) else 1
             part = self.sums(sides[small], g, h)
             both = [part, sums[top] - part]
-            for side, own in zip(sides, both if small == 0 else both[::-1]):
+            both = np.stack(both if small == 0 else both[::-1])
+            splits += self.best(both, places)
+            for side, own in zip(sides, both):
                 leaves.add(len(feature))
                 rows.append(side)
                 sums.append(own)
-                splits.append(self.best(own, allowed))
                 feature, threshold, left, right, gains = [*feature, -1], [*threshold, 0.0], [*left, -1], [*right, -1], [*gains, 0.0]
             leaves.remove(top)
             rows[top] = None
-        whole = np.stack([s[:, : self.ends[0]].sum(1) for s in sums])
+        own = slice(self.begins[self.first], self.ends[self.first])
+        whole = np.stack([s[:, own].sum(1) for s in sums])
         value = -np.sign(whole[:, 0]) * np.maximum(np.abs(whole[:, 0]) - p.l1, 0.0) / (whole[:, 1] + p.l2 + 1e-15) * p.stepSize
         value[[n for n in range(len(value)) if n not in leaves]] = 0.0
         for n in leaves:
@@ -324,18 +343,17 @@ def fold_scores(train: DataFrame, columns: Sequence[str], trials: dict[str, Para
     rows = stored.orderBy("row_id").toArrow()
     width = len(columns)
     codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), dtype=np.uint16).reshape(-1, width)
-    sent = spark.sparkContext.broadcast((rows["row_id"].to_numpy(), rows["y"].to_numpy(), codes, bounds))
     spans = [(r["fold"], r["first"], r["last"]) for r in folds.select("fold", "first", "last").collect()]
-    jobs = [(name, json.dumps(p.__dict__), *span) for name, p in trials.items() for span in spans]
-    jobs.sort(key=lambda j: -j[3])  # the longest first
-    todo = spark.createDataFrame([(i, *j) for i, j in enumerate(jobs)], "job int, model string, params string, fold int, first long, last long")
+    jobs = [(name, p, *span) for name, p in trials.items() for span in spans]
+    jobs.sort(key=lambda j: -j[3] * (8 + j[1].maxLeaves / 8) * j[1].maxIter)  # the longest first, about
+    sent = spark.sparkContext.broadcast((rows["row_id"].to_numpy(), rows["y"].to_numpy(), codes, bounds, jobs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, y, codes, bounds = sent.value
+        ids, y, codes, bounds, jobs = sent.value
         for batch in batches:
-            for job in batch.to_pylist():
-                early, block = ids < job["first"], (ids >= job["first"]) & (ids <= job["last"])
-                p, own = Params(**json.loads(job["params"])), codes[block]
+            for name, p, fold, first, last in [jobs[i] for i in batch.column(0).to_pylist()]:
+                early, block = ids < first, (ids >= first) & (ids <= last)
+                own = codes[block]
                 margin = np.zeros(len(own))
                 if early.any():
                     grower = Grower(codes[early], y[early], bounds, p)
@@ -344,13 +362,12 @@ def fold_scores(train: DataFrame, columns: Sequence[str], trials: dict[str, Para
                         margin += tree.value[_leaf_by_code(tree, own, grower)]
                 n = len(margin)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([job["model"]] * n, pa.string()), pa.array([job["fold"]] * n, pa.int32()), pa.array(ids[block], pa.int64()), pa.array(y[block], pa.int32()),
+                    [pa.array([name] * n, pa.string()), pa.array([fold] * n, pa.int32()), pa.array(ids[block], pa.int64()), pa.array(y[block], pa.int32()),
                      pa.array(1.0 / (1.0 + np.exp(-margin)))],
                     ["model", "fold", "row_id", "y", "score"],
                 )
 
-    dealt = todo.repartitionByRange(len(jobs), "job").select("model", "params", "fold", "first", "last")
-    out = pin(dealt.mapInArrow(run, "model string, fold int, row_id long, y int, score double"), "fold-scores")
+    out = pin(spark.range(0, len(jobs), 1, len(jobs)).mapInArrow(run, "model string, fold int, row_id long, y int, score double"), "fold-scores")
     sent.unpersist()
     unpin(stored)
     return out
