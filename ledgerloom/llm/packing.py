@@ -36,36 +36,44 @@ from ledgerloom.session import new_path, pin
 
 CAPACITY = 4096
 _SLACK = 16  # a bin with no more free tokens is nearly full
-_PIECES = T.ArrayType(T.StructType([
-    T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
-    T.StructField("ids_crc32", T.LongType()), T.StructField("ids", T.BinaryType()),
-]))
+#: A bin's name holds its round in five bits. Groups merge by eight, so a billion of them take ten rounds; further
+#: ones deal a residue of more than ``group_items`` bins anew, as long as that saves one bin in a thousand.
+_ROUNDS = 31
+_PIECES = "piece int, start long, length long, ids_crc32 long, ids binary"
+_BYTES = 1 << 22  # bytes of ids that a task gives back at a time
 
 
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACITY, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Stored pieces: ``pid, doc_id, piece, start, length, ids_crc32, ids`` (packed little-endian ids)."""
 
-    @F.pandas_udf(_PIECES)
-    def cut(texts: pd.Series) -> pd.Series:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(vocabulary)
-        end = np.array([end_id], dtype=model.dtype).tobytes()
-        width = model.dtype.itemsize * capacity
-        out = []
-        for packed in model.encode_many(texts):
-            packed += end
-            parts = [packed[a : a + width] for a in range(0, len(packed), width)]
-            out.append([
-                {
-                    "piece": i, "start": i * capacity, "length": len(p) // model.dtype.itemsize,
-                    "ids_crc32": zlib.crc32(as_u32(p, model.dtype).tobytes()), "ids": p,
-                }
-                for i, p in enumerate(parts)
-            ])
-        return pd.Series(out)
+        end, width = np.array([end_id], dtype=model.dtype).tobytes(), model.dtype.itemsize * capacity
+
+        def flush(names: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+            at, number, lengths, sums, ids = zip(*rows)
+            number = np.array(number)
+            columns = [names.take(pa.array(at)), pa.array(number, pa.int32()), pa.array(number * capacity, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64()), pa.array(ids, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", *[f.split()[0] for f in _PIECES.split(", ")]])
+
+        for batch in batches:
+            rows, size = [], 0
+            for i, packed in enumerate(model.encode_many(t.as_py() for t in batch.column(1))):
+                packed += end
+                size += len(packed)
+                for k, a in enumerate(range(0, len(packed), width)):
+                    ids = packed[a : a + width]
+                    rows.append((i, k, len(ids) // model.dtype.itemsize, zlib.crc32(as_u32(ids, model.dtype).tobytes()), ids))
+                if size > _BYTES:
+                    yield flush(batch.column(0), rows)
+                    rows, size = [], 0
+            if rows:
+                yield flush(batch.column(0), rows)
 
     spark = docs.sparkSession
-    rows = narrow(docs, doc_id=id, text=text).select("doc_id", F.explode(cut("text")).alias("p"))
-    out = rows.select(F.monotonically_increasing_id().alias("pid"), "doc_id", "p.*")
+    rows = narrow(docs, doc_id=id, text=text)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    out = rows.mapInArrow(cut, f"doc_id {kind}, {_PIECES}").select(F.monotonically_increasing_id().alias("pid"), "*")
     path = new_path(spark, "pieces")
     out.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(out.schema).parquet(path)
@@ -146,16 +154,17 @@ def _next_round(residue: DataFrame, capacity: int, number: int) -> DataFrame:
     return residue.groupBy("home").applyInPandas(run, "bin long, parent long, shift long, fill long, home long")
 
 
-def assign(pieces: DataFrame, capacity: int = CAPACITY, slack: int = _SLACK, slice_items: int = 200_000, group_items: int = 200_000, arity: int = 8) -> DataFrame:
+def assign(pieces: DataFrame, capacity: int = CAPACITY, slack: int = _SLACK, slice_items: int = 50_000, group_items: int = 200_000, arity: int = 8) -> DataFrame:
     """``sequence_id`` and ``offset`` for every piece, beside all its other columns but ``ids``."""
     items = pieces.drop("ids")
-    packed = pin(_first_round(items, capacity, slice_items), "packed")
+    slices = max(1, -(-items.count() // slice_items))  # small partitions are packed together
+    packed = pin(_first_round(items.coalesce(slices), capacity, slice_items), "packed")
     open_bins = packed.filter((F.col("place") == 0) & (F.col("fill") < capacity - slack))
     residue = pin(open_bins.select("bin", "fill", F.shiftright("bin", 36).alias("home")), "residue")
     count, groups = residue.agg(F.count("*"), F.countDistinct("home")).first()
     levels, number = [], 0
-    while count > 1 and number < 15:
-        number += 1
+    while count > 1 and number < _ROUNDS:
+        number, before = number + 1, groups
         fewer = max(-(-count // group_items), -(-groups // arity))
         home = F.pmod("home", F.lit(fewer)) if fewer < groups else F.pmod(F.xxhash64("bin", F.lit(number)), F.lit(fewer))
         dealt = residue.select("bin", "fill", home.cast("long").alias("home"))
@@ -166,7 +175,7 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY, slack: int = _SLACK, sli
         bins, left = heads.agg(F.count("*"), F.sum((F.col("fill") < capacity - slack).cast("long"))).first()
         saved, last = count - bins, fewer == 1
         count, groups = left or 0, fewer
-        if last or (saved * 1000 < bins and fewer >= groups and number > 3):
+        if last or (saved * 1000 < bins and fewer >= before):
             break
     final = None
     for level in reversed(levels):
@@ -185,6 +194,12 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY, slack: int = _SLACK, sli
     )
 
 
+def laid_out(pieces: DataFrame, assigned: DataFrame) -> DataFrame:
+    """The packed sequences, piece by piece: ``assigned`` with ``ids``, each sequence's pieces in one partition, in order."""
+    held = assigned.join(pieces.select("pid", "ids"), "pid")
+    return held.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
+
+
 def sequences(pieces: DataFrame, assigned: DataFrame) -> DataFrame:
     """The packed sequences themselves: ``sequence_id, length, ids`` (ids of all its pieces, packed, in order)."""
     rows = pieces.select("pid", "length", "ids").join(assigned.select("pid", "sequence_id", "offset"), "pid")
