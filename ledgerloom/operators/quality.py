@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,8 +144,8 @@ def region_signal(df: DataFrame) -> DataFrame:
     )
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free digests of the whole content: sums of row hashes, so repeated rows count.
+def fingerprint(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Order-free digests of the whole content (or of each group): sums of row hashes, so repeated rows count.
 
     ``digest`` adds 60 bits of the MD5 of each row written as text, floating
     numbers with six digits, and can be recomputed anywhere. ``exact`` adds
@@ -155,7 +157,7 @@ def fingerprint(df: DataFrame) -> DataFrame:
     line = F.concat(*[F.concat(F.coalesce(text(f), F.lit("\\N")), F.lit("\x1f")) for f in fields])
     part = F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("decimal(20,0)")
     exact = F.xxhash64(*[f.name for f in fields], F.lit(len(fields)))
-    return df.agg(
+    return df.groupBy(*by).agg(
         F.coalesce(F.sum(part), F.lit(0)).cast("decimal(38,0)").cast("string").alias("digest"),
         F.coalesce(F.sum(exact.cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)").cast("string").alias("exact"),
         F.count("*").alias("n"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,18 +17,20 @@ def tokens(text: Column) -> Column:
     return F.floor(F.length(text) / 4)
 
 
-def prices(spark: SparkSession) -> DataFrame:
-    rows = [(m, i, o) for m, (i, o) in K.PRICING.items()]
+def prices(spark: SparkSession, listed: Mapping[str, tuple[float, float]] | None = None) -> DataFrame:
+    """Input and output price per million tokens; `listed` adds models to the known tiers or reprices them."""
+    rows = [(m, float(i), float(o)) for m, (i, o) in {**K.PRICING, **(listed or {})}.items()]
     return spark.createDataFrame(rows, "model string, input_per_1m double, output_per_1m double")
 
 
-def with_cost(calls: DataFrame, name: str = "est_cost") -> DataFrame:
-    """Price of each call; unknown models cost the default. The price list is a fixed handful."""
-    pi = F.coalesce("input_per_1m", F.lit(K.DEFAULT_PRICE[0]))
-    po = F.coalesce("output_per_1m", F.lit(K.DEFAULT_PRICE[1]))
+def with_cost(
+    calls: DataFrame, name: str = "est_cost", listed: Mapping[str, tuple[float, float]] | None = None, default: tuple[float, float] = K.DEFAULT_PRICE
+) -> DataFrame:
+    """Price of each call; models on no list cost the default. A price list is a few hundred rows at most."""
+    pi, po = F.coalesce("input_per_1m", F.lit(default[0])), F.coalesce("output_per_1m", F.lit(default[1]))
     cost = F.col("input_tokens") / 1e6 * pi + F.col("output_tokens") / 1e6 * po
     return (
-        calls.join(F.broadcast(prices(calls.sparkSession)), "model", "left")
+        calls.join(F.broadcast(prices(calls.sparkSession, listed)), "model", "left")
         .withColumn(name, cost)
         .drop("input_per_1m", "output_per_1m")
     )
@@ -86,6 +88,29 @@ def latency_gates(requests: DataFrame, limit_ms: float = 200.0, order: str = "ev
     return picked.select("route", "requests", "failures", F.col("latency_ms").alias("p95_ms"), ok.alias("passed"))
 
 
+#: Rank error of a quantile read from a sketch of this size, by its documentation, with 99 % confidence.
+SKETCH_K, RANK_ERROR = 800, 0.005
+
+
+def latency_sketches(requests: DataFrame, by: Sequence[str | Column] = ("route",)) -> DataFrame:
+    """Per group (say route and hour): requests, failures, and a quantile sketch of the latencies.
+
+    Rows of this table add up: over hours, partitions, files and micro-batches. It is a plain
+    aggregation with partial sketches on the map side, in a stream as in a batch.
+    """
+    return requests.groupBy(*by).agg(
+        F.count("*").alias("requests"), F.count_if(~F.col("ok")).alias("failures"),
+        F.kll_sketch_agg_double(F.col("latency_ms").cast("double"), SKETCH_K).alias("latencies"),
+    )
+
+
+def sketched_gates(sketches: DataFrame, limit_ms: float = 200.0, share: float = 0.95) -> DataFrame:
+    """The gates of `latency_gates` from added-up sketches; the quantile is within `RANK_ERROR` of the exact rank."""
+    whole = sketches.groupBy("route").agg(F.sum("requests").alias("requests"), F.sum("failures").alias("failures"), F.kll_merge_agg_double("latencies", SKETCH_K).alias("s"))
+    at = F.kll_sketch_get_quantile_double("s", F.lit(share))
+    return whole.select("route", "requests", "failures", at.alias("p95_ms"), ((at < limit_ms) & (F.col("failures") == 0)).alias("passed"))
+
+
 def never_exercised(requests: DataFrame, required: Sequence[str] = tuple(K.GATED_ENDPOINTS)) -> DataFrame:
     names = requests.sparkSession.createDataFrame([(r,) for r in required], "route string")
     return names.join(requests.select("route").distinct(), "route", "left_anti")

@@ -30,11 +30,13 @@ def _(spark, sf):
     return null_text_to_empty(files.load_ledger(spark, path)).select(*SAMPLE.split(", "))
 
 
-@query("parquet_round_trip", over_ledger(f"SELECT {SAMPLE} FROM ledger WHERE simulation_year = 1998"))
+@query("parquet_round_trip", over_ledger("SELECT * FROM ledger"))
 def _(spark, sf):
+    """All years and columns."""
     path = new_path(spark, "ledger") + ".parquet"
-    files.write_ledger(ledger(spark, sf), path)
-    return files.load_ledger(spark, path).where("simulation_year = 1998").select(*SAMPLE.split(", "))
+    whole = ledger(spark, sf)
+    files.write_ledger(whole, path)
+    return files.load_ledger(spark, path).select(*whole.columns)
 
 
 @query(
@@ -110,6 +112,26 @@ def _(spark, sf):
     )
 
 
+@query(
+    "store_partial_sync",
+    over_ledger(
+        """SELECT (SELECT count(*) FROM (SELECT DISTINCT simulation_year, row_id // 5000 FROM ledger)) AS blocks, 1 AS rewritten,
+        count(*) AS total, sum(CAST(round_even(amount, 2) AS DECIMAL(38, 2)))::VARCHAR AS amount FROM (SELECT CASE WHEN row_id = 7 THEN amount + 1 ELSE amount END AS amount FROM ledger)"""
+    ),
+)
+def _(spark, sf):
+    """One changed row rewrites one block; the stored ledger is the changed one."""
+    store = LedgerStore(spark, new_path(spark, "store"), block_rows=5000)
+    rows = ledger(spark, sf)
+    store.sync(rows)
+    blocks = store.rewritten
+    store.sync(rows.withColumn("amount", F.when(F.col("row_id") == 7, F.col("amount") + 1).otherwise(F.col("amount"))))
+    total = F.sum(F.bround("amount", 2).cast("decimal(38,2)")).cast("string")
+    return store.ledger().agg(
+        F.lit(blocks).cast("long").alias("blocks"), F.lit(store.rewritten).alias("rewritten"), F.count("*").alias("total"), total.alias("amount")
+    )
+
+
 @query("store_risk_scan", over_ledger("SELECT row_id, date, amount, risk_score, rule_reason FROM scored WHERE risk_score >= 0.7 ORDER BY risk_score DESC, row_id LIMIT 15", *SCORED_CTES))
 def _(spark, sf):
     store = LedgerStore(spark, new_path(spark, "store"))
@@ -118,14 +140,27 @@ def _(spark, sf):
     return rules.top_risk(store.risk_rows(), 15, ["row_id", "date", "amount", "risk_score", "rule_reason"])
 
 
-@query("store_reset", "SELECT 0 AS ledger_rows, 0 AS score_rows, count(*) AS events FROM events")
+@query(
+    "store_reset",
+    over_ledger(
+        """SELECT 'before' AS state, count(*) AS ledger_rows, count(*) FILTER (row_id % 3 = 0) AS score_rows FROM ledger
+        UNION ALL SELECT 'reset', 0, 0 UNION ALL SELECT 'again', count(*) FILTER (amount > 40), 0 FROM ledger"""
+    ),
+)
 def _(spark, sf):
+    """What the store holds before a reset, after it, and after the next sync."""
     store = LedgerStore(spark, new_path(spark, "store"))
-    store.sync(ledger(spark, sf), "x")
+    rows = ledger(spark, sf)
+    now = lambda state: (state, store.ledger().count(), store.scores().count())
+    store.sync(rows, "x")
+    zero = F.lit(0.0)
+    scored = rows.where("row_id % 3 = 0").select("row_id", *[zero.alias(f"{c}_score") for c in ("risk", "rule", "model", "isolation")], F.lit("").alias("rule_reason"), F.lit("").alias("reason"))
+    store.materialize_scores(scored, "x")
+    states = [now("before")]
     store.reset()
-    return table(spark, sf, "events").agg(
-        F.lit(store.total_rows()).alias("ledger_rows"), F.lit(store.scores().count()).alias("score_rows"), F.count("*").alias("events")
-    )
+    states.append(now("reset"))
+    store.sync(rows.where("amount > 40"), "x")
+    return spark.createDataFrame([*states, now("again")], "state string, ledger_rows long, score_rows long")
 
 
 @query(

@@ -83,6 +83,26 @@ def _(spark, sf):
     return usage.latency_gates(derived.calls(spark, sf))
 
 
+SKETCHED_SQL = "SELECT route, count(*) AS requests, count(*) FILTER (NOT ok) AS failures, true AS within FROM calls GROUP BY 1"
+
+
+def rank_check(requests, gates):
+    """Whether the rank of each sketched quantile is within the stated error of the wanted one."""
+    ranked = requests.join(F.broadcast(gates), "route").groupBy("route").agg(
+        F.max("requests").alias("requests"), F.max("failures").alias("failures"), F.count("*").alias("n"),
+        F.count_if(F.col("latency_ms") <= F.col("p95_ms")).alias("upto"), F.count_if(F.col("latency_ms") < F.col("p95_ms")).alias("below"),
+    )
+    wanted, slack = 0.95 * F.col("n"), usage.RANK_ERROR * F.col("n") + 1
+    return ranked.select("route", "requests", "failures", ((F.col("below") <= wanted + slack) & (F.col("upto") >= wanted - slack)).alias("within"))
+
+
+@query("sketched_gates", with_ctes(SKETCHED_SQL, CALLS))
+def _(spark, sf):
+    """Sketches per route and hour, added up per route."""
+    requests = derived.calls(spark, sf)
+    return rank_check(requests, usage.sketched_gates(usage.latency_sketches(requests, ["route", F.date_trunc("hour", "ts").alias("hour")])))
+
+
 @query("never_exercised", with_ctes(f"SELECT r AS route FROM (SELECT unnest({K.GATED_ENDPOINTS!r}) AS r) WHERE r NOT IN (SELECT route FROM calls)", CALLS))
 def _(spark, sf):
     return usage.never_exercised(derived.calls(spark, sf))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,7 +14,11 @@ _FALLBACK: dict[str, str] = {}
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A session for tests and benchmarks; clusters bring their own."""
+    """A session for tests and benchmarks; clusters bring their own, with this package on the workers' path."""
+    home = str(Path(__file__).resolve().parent.parent)
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in paths:
+        os.environ["PYTHONPATH"] = os.pathsep.join([home, *filter(None, paths)])
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("ledgerloom")

@@ -9,7 +9,7 @@ from ledgerloom.operators import alerts, rules
 from ledgerloom.operators.quality import fingerprint
 from ledgerloom.sources import files
 from ledgerloom.sources.store import LedgerStore
-from ledgerloom.streaming.jobs import AlertState, limiter
+from ledgerloom.streaming.jobs import AlertState
 
 
 def flagged(spark, *ids):
@@ -48,43 +48,6 @@ def test_payload_is_capped_and_finite(spark):
     assert len(out) == 25 and out[0]["payload"] == '{"row_index":0,"amount":null,"risk_score":1.0}'
 
 
-class State:
-    hasTimedOut = False
-
-    def __init__(self):
-        self.value, self.timeout = None, None
-
-    def getCurrentWatermarkMs(self):
-        return 0
-
-    def setTimeoutTimestamp(self, ms):
-        self.timeout = ms
-
-    def remove(self):
-        self.value = None
-
-    @property
-    def exists(self):
-        return self.value is not None
-
-    @property
-    def get(self):
-        return self.value
-
-    def update(self, value):
-        self.value = value
-
-
-def test_limiter_ignores_refused_requests():
-    step, state, sec = limiter(2, 60), State(), 1_000_000
-    run = lambda *t: list(pd.concat(step(("k",), iter([pd.DataFrame({"event_id": range(len(t)), "us": [x * sec for x in t]})]), state)).allowed)
-    assert run(0, 10, 20, 59) == [True, True, False, False]
-    assert run(60, 61, 70) == [True, False, True]  # the hit at 0 has aged out, refused ones never counted
-    assert state.timeout > 130_000  # a window after the last granted request
-    state.hasTimedOut = True
-    assert list(step(("k",), iter([]), state)) == [] and state.value is None
-
-
 def test_streams_in_batches_drop_only_late_rows(spark):
     """Rows in time order all count, also those a little out of order; a row behind the watermark is dropped."""
     from ledgerloom.session import new_path
@@ -119,6 +82,51 @@ def test_store_reloads_only_on_change(spark, tmp_path):
     assert store.total_rows() == 0 and store.sync(df)
 
 
+def test_one_changed_row_rewrites_one_block(spark, tmp_path):
+    store = LedgerStore(spark, str(tmp_path / "s"), block_rows=10)
+    df = ledger(spark, random_rows(1, 60)).cache()
+    years = df.select("simulation_year", F.floor(F.col("row_id") / 10)).distinct().count()
+    assert store.sync(df) and (store.rewritten, store.kept) == (years, 0)
+    changed = df.withColumn("amount", F.when(F.col("row_id") == 33, 1.25).otherwise(F.col("amount")))
+    assert store.sync(changed) and (store.rewritten, store.kept) == (1, years - 1)
+    assert not store.sync(changed) and store.rewritten == 0
+    same = lambda want: store.ledger().exceptAll(want).count() == 0 == want.exceptAll(store.ledger()).count()
+    assert same(changed.select(*store.ledger().columns)) and store.total_rows() == 60
+    fewer = changed.where("row_id < 30")
+    assert store.sync(fewer) and store.rewritten == 0 and same(fewer.select(*store.ledger().columns))
+    assert store.sync(df) and same(df.select(*store.ledger().columns))
+    store.sync(df.where("row_id < 0"), "none")
+    assert store.total_rows() == 0 == store.ledger().count()
+    store.sync(df, "all")
+    store.sync(changed, "one")
+    left = [p.name for p in (tmp_path / "s" / "ledger-blocks").iterdir()]
+    assert len(left) == 2  # the whole and the one block; nothing points at the others
+
+
+def test_price_list(spark):
+    from ledgerloom import constants as K
+    from ledgerloom.operators import usage
+
+    known = next(iter(K.PRICING))
+    calls = spark.createDataFrame([(known, 10**6, 0), ("house-model", 10**6, 10**6), ("other", 10**6, 0)], "model string, input_tokens long, output_tokens long")
+    cost = lambda **o: {r["model"]: r["est_cost"] for r in usage.with_cost(calls, **o).collect()}
+    assert cost()["house-model"] == sum(K.DEFAULT_PRICE)
+    own = cost(listed={"house-model": (2, 3), known: (7, 1)}, default=(0.5, 0.5))
+    assert own == {known: 7.0, "house-model": 5.0, "other": 0.5}
+
+
+def test_sketched_quantiles(spark):
+    from ledgerloom.operators import usage
+    from ledgerloom.plans.usage_queries import rank_check
+
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") % 10 == 0, "a").otherwise("b").alias("route"), F.exp(F.randn(7) * 2).alias("latency_ms"), (F.col("id") > 3).alias("ok"), (F.col("id") % 24).alias("hour")
+    ).cache()
+    gates = usage.sketched_gates(usage.latency_sketches(rows, ["route", "hour"]), 1000.0)
+    assert [(r["requests"], r["failures"], r["within"]) for r in rank_check(rows, gates).orderBy("route").collect()] == [(6000, 1, True), (54000, 3, True)]
+    assert [r["passed"] for r in gates.collect()] == [False, False]
+
+
 def test_fingerprint_ignores_order(spark):
     df = ledger(spark, random_rows(2, 40))
     assert fingerprint(df).first() == fingerprint(df.orderBy(F.desc("row_id"))).first()
