@@ -68,13 +68,20 @@ for _name in SPECS:
     _register(_name)
 
 
+_RAW: dict = {}
+
+
 def raw_scores(spark, sf):
-    """Rule, model and isolation score of every row, stored before anything reads their range; both models score in one pass."""
+    """Rule, model and isolation score of every row, stored once per application; both models score in one pass."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key in _RAW:
+        return _RAW[key]
     features = stored_features(spark, sf)
     strange = model(spark, sf, "isolation_forest").scores(features, "isolation_raw", keep=["row_id", *FEATURES])
     both = model(spark, sf, "gradient_boosting").scores(strange, "model_raw", keep=["row_id", "isolation_raw"])
     flags = rules.rule_risk_flags(ledger(spark, sf)).select("row_id", "date", "merchant", "amount", "category", "rule_score", "rule_reason")
-    return pin(flags.join(both, "row_id"), "scores")
+    _RAW[key] = pin(flags.join(both, "row_id"), "scores")
+    return _RAW[key]
 
 
 @query("blended_risk")

@@ -20,3 +20,16 @@ def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         labels = rows.select("row_id", "step", F.col("isFraud").alias("y"), F.col("fraud_archetype").alias("archetype"))
         _STORED[key] = pin(build_features(rows).join(labels, "row_id"), "features")
     return _STORED[key].select("row_id", "step", "y", "archetype", *FEATURES)
+
+
+_VECTORS: dict[tuple[str, str], DataFrame] = {}
+
+
+def stored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`id` and unit vector of every row, stored next to the features."""
+    from ledgerloom.operators.retrieval import ledger_embeddings
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _VECTORS:
+        _VECTORS[key] = pin(ledger_embeddings(stored_features(spark, sf_dir), FEATURES), "unit-vectors")
+    return _VECTORS[key]
