@@ -430,21 +430,26 @@ class Paths:
             for j, (f, (lo, hi, share)) in enumerate(path.items()):
                 self.feature[i, j], self.low[i, j], self.high[i, j], self.share[i, j] = f, lo, hi, share
         nodes, weights = np.polynomial.legendre.leggauss(-(-depth // 2))
-        self.t, self.weight = (nodes + 1) / 2, weights / 2
+        t, weight = (nodes + 1) / 2, weights / 2
+        # a feature's factor at each node of the rule, outside and inside of its interval: (leaf, feature, node)
+        outside = self.share[:, :, None] * (1 - t)
+        inside = outside + t
+        self.base, self.gain = np.log(outside).sum(1), np.log(inside) - np.log(outside)
+        self.less, self.more = (weight / outside).transpose(0, 2, 1), (weight / inside - weight / outside).transpose(0, 2, 1)
         self.expected = float((self.value * self.share.prod(1)).sum())
 
     def add(self, x: np.ndarray, out: np.ndarray) -> None:
-        """Adds each row's contributions to ``out``."""
-        seen = x[:, self.feature]
-        inside = ((seen > self.low) & (seen <= self.high)).astype(np.float64)  # a place without a feature is neutral: inside, share one
-        total = np.zeros_like(inside)
-        for t, w in zip(self.t, self.weight):
-            each = self.share * (1 - t) + inside * t
-            total += w * each.prod(2, keepdims=True) / each
-        total *= (inside - self.share) * self.value[:, None]
-        every = np.arange(len(x))
-        flat = (every[:, None] * out.shape[1] + self.feature.ravel()).ravel()
-        out += np.bincount(flat, total.reshape(len(x), -1).ravel(), out.size).reshape(out.shape)
+        """Adds each row's contributions to ``out``.
+
+        Whether a row is inside is 0 or 1, so products over features are sums of logarithms, and the product
+        without one feature is divided by one of two factors: both are matrix products per leaf.
+        """
+        seen = x[:, self.feature].transpose(1, 0, 2)  # (leaf, row, feature)
+        inside = ((seen > self.low[:, None]) & (seen <= self.high[:, None])).astype(np.float64)  # one where there is no feature: neutral
+        whole = np.exp(self.base[:, None] + inside @ self.gain)
+        total = (whole @ self.less + inside * (whole @ self.more)) * (inside - self.share[:, None]) * self.value[:, None, None]
+        at = np.arange(len(x))[:, None] * out.shape[1] + self.feature[:, None, :]
+        out += np.bincount(at.ravel(), total.ravel(), out.size).reshape(out.shape)
 
 
 def shap(x: np.ndarray, paths: list[Paths]) -> np.ndarray:
