@@ -52,8 +52,23 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, n, _CHUNK):
         spans = zip(starts[at : at + _CHUNK].tolist(), ends[at : at + _CHUNK].tolist())
-        hashes = np.array([digest(line[a:b], SEED) for a, b in spans], dtype="<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += _ones(np.array([digest(line[a:b], SEED) for a, b in spans], dtype="<u8"))
+    return _over_half(ones, n)
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit SimHash of shingles given by their hashes."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        ones += _ones(hashes[at : at + _CHUNK].astype("<u8"))
+    return _over_half(ones, len(hashes))
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _over_half(ones: np.ndarray, n: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
