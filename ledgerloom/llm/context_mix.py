@@ -64,14 +64,14 @@ def contexts(window: np.ndarray) -> np.ndarray:
     return out
 
 
-def windows(texts: list[bytes], first: int) -> tuple[np.ndarray, np.ndarray]:
+def windows(texts: list[bytes], firsts: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Bytes ``first - HISTORY`` to ``first + SPAN`` (or the longest's end) of each text, and how many of them are its own."""
-    sizes = np.array([min(SPAN, len(t) - first) for t in texts])
+    sizes = np.array([min(SPAN, len(t) - first) for t, first in zip(texts, firsts)])
     width = -(-int(sizes.max()) // BLOCK) * BLOCK
     out = np.zeros((len(texts), HISTORY + width), dtype=np.uint8)
-    low = max(0, first - HISTORY)
-    shift = HISTORY - (first - low)
-    for i, t in enumerate(texts):
+    for i, (t, first) in enumerate(zip(texts, firsts)):
+        low = max(0, first - HISTORY)
+        shift = HISTORY - (first - low)
         part = np.frombuffer(t, dtype=np.uint8, count=min(len(t), first + width) - low, offset=low)
         out[i, shift : shift + len(part)] = part
     return out, sizes
@@ -80,7 +80,10 @@ def windows(texts: list[bytes], first: int) -> tuple[np.ndarray, np.ndarray]:
 def count(texts: list[bytes], table: np.ndarray, lanes: int = 256) -> None:
     """Adds the bytes of texts (with their final zero) to ``table``, contexts x 256."""
     flat = table.reshape(-1)
-    for _, _, window, sizes in _spans(texts, lanes):
+    spans = sorted(((i, first) for i, t in enumerate(texts) for first in range(0, len(t), SPAN)), key=lambda s: s[1] - len(texts[s[0]]))
+    for a in range(0, len(spans), lanes):
+        numbers, firsts = zip(*spans[a : a + lanes])
+        window, sizes = windows([texts[i] for i in numbers], firsts)
         rows = contexts(window)
         own = np.arange(window.shape[1] - HISTORY) < sizes[:, None]
         following = window[:, HISTORY:][own].astype(np.int64)
@@ -88,18 +91,6 @@ def count(texts: list[bytes], table: np.ndarray, lanes: int = 256) -> None:
             np.add.at(flat, rows[k][own] * 256 + following, np.uint32(1))
 
 
-def _spans(texts: list[bytes], lanes: int):
-    """(first byte, numbers of the texts, windows, sizes) until all bytes are covered; texts of like length go together."""
-    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-    for a in range(0, len(order), lanes):
-        group, first = order[a : a + lanes], 0
-        while group:
-            window, sizes = windows([texts[i] for i in group], first)
-            yield first, group, window, sizes
-            first += SPAN
-            group = [i for i in group if len(texts[i]) > first]
-
-
 def log_odds(counts: np.ndarray) -> np.ndarray:
     """Per context (row of 256 byte counts) and byte, the scaled log-odds of a one at the byte's eight nodes, as int8."""
     out = np.zeros(counts.shape, dtype=np.int8)
@@ -121,26 +112,39 @@ class Scorer:
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Total bits of each text."""
         total = np.zeros(len(texts))
-        weights = refine = None
-        for first, group, window, sizes in _spans(texts, self.lanes):
-            if first == 0:
-                weights = np.full((len(KINDS), 8, len(group), 1), _FIRST_WEIGHT * _SCALE, dtype=np.float32)
-                refine = np.tile(_refine_start(), 8 * len(group)).reshape(8, -1)
+        waiting = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+        group: list[tuple[int, int]] = []  # texts in the lanes and their next byte; a lane that ends takes the next text
+        weights = np.empty((len(KINDS), 0, 8), dtype=np.float32)
+        refine = np.empty((0, 8 * _BINS), dtype=np.float32)
+        while group or waiting:
+            new = [waiting.pop() for _ in range(min(len(waiting), self.lanes - len(group)))]
+            group += [(i, 0) for i in new]
+            weights = np.concatenate([weights, np.full((len(KINDS), len(new), 8), _FIRST_WEIGHT * _SCALE, dtype=np.float32)], axis=1)
+            refine = np.concatenate([refine, np.tile(_refine_start(), (len(new), 8))])
+            order = sorted(range(len(group)), key=lambda j: group[j][1] - len(texts[group[j][0]]))
+            group = [group[j] for j in order]
+            weights, refine = np.ascontiguousarray(weights[:, order]), refine[order]
+            numbers, firsts = map(list, zip(*group))
+            window, sizes = windows([texts[i] for i in numbers], firsts)
             rows = contexts(window)
             rows *= 256
             rows += window[:, HISTORY:]
+            flat, table = weights.reshape(len(KINDS), -1), refine.reshape(-1)
             for b in range(0, window.shape[1] - HISTORY, BLOCK):
                 n = int((sizes > b).sum())
-                own = np.arange(b, b + BLOCK) < sizes[:n, None]
-                following = window[:n, HISTORY + b : HISTORY + b + BLOCK]
-                total[group[:n]] += self._block(rows[:, :n, b : b + BLOCK], following, own, weights[:, :, :n], refine[:, : n * _BINS])
+                own = np.arange(b, b + BLOCK)[:, None] < sizes[:n]
+                following = window[:n, HISTORY + b : HISTORY + b + BLOCK].T
+                block = np.ascontiguousarray(rows[:, :n, b : b + BLOCK].transpose(0, 2, 1))
+                total[numbers[:n]] += self._block(block, following, own, flat[:, : 8 * n], table[: 8 * n * _BINS])
+            group = [(i, first + SPAN) for i, first in group if len(texts[i]) > first + SPAN]  # those at the front
+            weights, refine = weights[:, : len(group)], refine[: len(group)]
         return total
 
     def _block(self, rows, following, own, weights, refine) -> np.ndarray:
-        """Bits of one block per lane; then weights and refinement learn from it, in place."""
-        lanes, size = following.shape
-        sign = _by_bit(_SIGNS[following], lanes, size)
-        odds = [_by_bit(self.table[rows[k]], lanes, size) for k in range(len(KINDS))]
+        """Bits of one block per lane; then weights and refinement learn from it, in place. Arrays are positions x (lanes x bits)."""
+        size, lanes = following.shape
+        sign = _by_bit(_SIGNS[following])
+        odds = [_by_bit(self.table[rows[k]]) for k in range(len(KINDS))]
         mixed = odds[0] * weights[0]
         step = np.empty_like(mixed)
         for k in range(1, len(KINDS)):
@@ -149,28 +153,32 @@ class Scorer:
         np.clip(mixed, -11.9, 11.9, out=mixed)
         np.add(mixed, np.float32(12), out=step)
         place = step.astype(np.int64)
-        place += (np.arange(lanes) * _BINS)[:, None]
-        seen = np.stack([refine[d][place[d]] for d in range(8)])
+        place += np.arange(0, 8 * lanes * _BINS, _BINS)
+        seen = refine.take(place, mode="clip")  # all are in range; the mode spares a check
         mixed *= sign
         tail = np.exp(np.negative(mixed, out=mixed), out=mixed)
         tail += 1
         right = np.reciprocal(tail, out=tail)  # probability of the bit that came, before refinement
-        ahead = np.float32(0.5) - sign * np.float32(0.5)
-        refined = np.abs(ahead - seen)
+        seen *= sign
+        np.multiply(sign, np.float32(-0.5), out=step)
+        step += np.float32(0.5)
+        refined = np.add(seen, step, out=seen)
         np.add(right, refined, out=step)
         step *= np.float32(0.5)
-        pairs = step[0:4] * step[4:8]
-        fours = pairs[0:2] * pairs[2:4]
-        bits = -(np.log(fours).sum(axis=0) * own).sum(axis=1, dtype=np.float64) / np.log(2)
-        sign *= own
-        error = (1 - right) * sign
-        rate = _RATE * _SCALE * _SCALE / (own.sum(axis=1) + 8)
+        share = step.reshape(-1)  # at least 0.00005 a bit, so the product of eight is a normal float
+        for _ in range(3):
+            share = share[0::2] * share[1::2]
+        bits = -(np.log(share).reshape(size, lanes) * own).sum(axis=0, dtype=np.float64) / np.log(2)
+        if not own.all():
+            sign.reshape(size, lanes, 8)[~own] = 0
+        error = np.subtract(np.float32(1), right, out=right)
+        error *= sign
+        rate = np.repeat(_RATE * _SCALE * _SCALE / (own.sum(axis=0) + 8), 8)
         for k in range(len(KINDS)):
-            weights[k, :, :, 0] += np.einsum("dlb,dlb->dl", error, odds[k]) * rate
-        away = (1 - refined) * sign
-        for d in range(8):
-            moved = np.bincount(place[d].ravel(), weights=away[d].ravel(), minlength=refine.shape[1])
-            refine[d] += moved * (1 / (BLOCK + 32))
+            weights[k] += np.einsum("bl,bl->l", error, odds[k]) * rate
+        away = np.subtract(np.float32(1), refined, out=refined)
+        away *= sign
+        refine += np.bincount(place.reshape(-1), weights=away.reshape(-1), minlength=len(refine)) * (1 / (BLOCK + 32))
         np.clip(refine, 1e-4, 1 - 1e-4, out=refine)
         return bits
 
@@ -179,9 +187,9 @@ class Scorer:
 _SIGNS = np.ascontiguousarray(SIGN.astype(np.int8)).view(np.uint64).reshape(-1)
 
 
-def _by_bit(packed: np.ndarray, lanes: int, size: int) -> np.ndarray:
-    """Eight int8 per byte to floats, bit position first."""
-    return packed.view(np.int8).reshape(-1, 8).T.astype(np.float32, order="C").reshape(8, lanes, size)
+def _by_bit(packed: np.ndarray) -> np.ndarray:
+    """Eight int8 per byte to floats, positions x (lanes x bits)."""
+    return np.ascontiguousarray(packed).view(np.int8).astype(np.float32)
 
 
 def _refine_start() -> np.ndarray:

@@ -131,6 +131,20 @@ def test_lanes_do_not_matter():
     assert together == pytest.approx([context_mix.Scorer(odds).bits([t])[0] for t in texts], rel=1e-4)
 
 
+def test_free_lanes_take_the_next_text(monkeypatch):
+    """Short texts are scored beside a long one, not after it, and as they would be alone."""
+    rng = random.Random(3)
+    texts = [bytes(rng.choice(b"abc de\n") for _ in range(n)) for n in (8 * 2048, *[2000] * 20)]
+    table = np.zeros((context_mix.CONTEXTS, 256), np.uint32)
+    context_mix.count(texts, table)
+    scorer = context_mix.Scorer(context_mix.log_odds(table), lanes=8)
+    alone = [scorer.bits([t])[0] for t in texts]
+    lanes, block = [], context_mix.Scorer._block
+    monkeypatch.setattr(context_mix.Scorer, "_block", lambda self, rows, following, *a: lanes.append(1) or block(self, rows, following, *a))
+    assert scorer.bits(texts) == pytest.approx(alone, rel=1e-4)
+    assert len(lanes) == 8 * 2048 // context_mix.BLOCK
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 1023, 1024, 1025, 70_000, range_ans.BLOCK + 17])
 def test_ans_round_trip(n):
     import io
