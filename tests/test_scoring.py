@@ -48,3 +48,24 @@ def test_isolation_trees(leaves):
         want += t.value[t.leaf_of(x)]
     found = isolation.path_lengths(x, [isolation.complete(np.where(t.left < 0, -1, t.feature), t.threshold, t.left, t.right, t.value) for t in trees])
     assert np.array_equal(found, want)
+
+
+@pytest.mark.parametrize("leaves", [1, 2, 16, 31])
+def test_shap_tables(leaves):
+    """Contributions looked up by pattern are those of the formula, in blocks and for few rows."""
+    rng = np.random.default_rng(leaves)
+    cuts = rng.normal(size=12)
+    trees = [grown(rng, leaves, 6, cuts) for _ in range(4)]
+    for t in trees:
+        for n in reversed(np.flatnonzero(t.left >= 0)):
+            t.cover[n] = t.cover[t.left[n]] + t.cover[t.right[n]]
+    paths = [boosting.Paths(t) for t in trees]
+    x = rng.choice([*cuts, *rng.normal(size=20)], (9000, 6))
+    want = np.zeros(x.shape)
+    for at in range(0, len(x), 500):
+        for p in paths:
+            p.add(x[at : at + 500], want[at : at + 500])
+    assert np.allclose(boosting.shap(x, paths), want, rtol=1e-9, atol=1e-12)
+    assert np.allclose(boosting.shap(x[:3], paths), want[:3], rtol=1e-9, atol=1e-12)
+    if leaves > 2:
+        assert all(8 << max(p.used) <= len(x) for p in paths)
